@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 from brindle.llm import exact_dedup, line_dedup
 from brindle.llm.cost_packing import cost_packing
 from brindle.llm.entropy_mix import entropy_mix
-from brindle.llm.shared import table
+from brindle.llm.hd_language import hd_language
+from brindle.llm.nnpu_toxicity import nnpu_toxicity
+from brindle.llm.shared import remainder, table
 
 
 def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnpu_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -24,11 +30,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = remainder(F.col("doc_id"), 4) == 2
+    return hd_language(docs.withColumn("held_out", held), ~F.col("held_out"), keep=("held_out",))
+
+
 def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_entropy_mix, op4_line_dedup, op5_exact_dedup, op10_cost_packing)}
+QUERIES = {f.__name__: f for f in (op2_entropy_mix, op3_nnpu_toxicity, op4_line_dedup, op5_exact_dedup, op8_hd_language, op10_cost_packing)}
 
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
