@@ -12,6 +12,7 @@ from brindle.llm.entropy_mix import entropy_mix
 from brindle.llm.hd_language import hd_language
 from brindle.llm.html_extract import html_extract
 from brindle.llm.nnpu_toxicity import nnpu_toxicity
+from brindle.llm.omh_neardup import near_duplicates
 from brindle.llm.shared import remainder, table
 from brindle.llm.token_attribution import token_attribution
 
@@ -40,6 +41,10 @@ def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
+def op7_omh_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
@@ -54,7 +59,7 @@ def op10_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_entropy_mix, op3_nnpu_toxicity, op4_line_dedup, op5_exact_dedup, op6_html_extract, op8_hd_language, op9_bsi_topk, op10_cost_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_attribution, op2_entropy_mix, op3_nnpu_toxicity, op4_line_dedup, op5_exact_dedup, op6_html_extract, op7_omh_neardup, op8_hd_language, op9_bsi_topk, op10_cost_packing)}
 
 ORACLE_SQL = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,

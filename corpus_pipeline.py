@@ -1,3 +1,72 @@
-STAGES = []
+"""From raw documents to packed sequences: the stages of a training corpus, each on what the one before kept."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm.cost_packing import cost_packing
+from brindle.llm.entropy_mix import entropy_mix
+from brindle.llm.exact_dedup import exact_dedup
+from brindle.llm.hd_language import hd_language
+from brindle.llm.omh_neardup import near_duplicates
+from brindle.llm.shared import checkpoint_dir, remainder, text_of
+
+#: No SQL expresses learned languages, sketches and balanced copies.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (a null id is a value like any other)."""
+    return docs.join(ids.select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that have no language (null texts, texts without a letter). Learned as op8 is: the
+    rows with crc32(doc_id as text) mod 4 = 2 take no part. Rows that share an id stand or fall by themselves."""
+    columns = docs.columns
+    marked = hd_language(docs.withColumn("own_text", F.col("text")), remainder(F.col("doc_id"), 4) != 2, keep=tuple(c for c in columns if c not in ("doc_id", "text")) + ("own_text",))
+    return marked.where("lang_pred <> 'und'").withColumnRenamed("own_text", "text").select(*columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts keep the one with the largest doc_id; a row that repeats with its id stays as often."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_text")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.sha2(text_of(F.col("text")), 256) == F.col("kept_text"))
+    return docs.join(kept, same, "left_semi")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates keep the document with the smallest doc_id; rows that share an id stand or fall together."""
+    return _only(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that the sources come near their target shares of words. Each copy is a
+    row; ids that repeat already get the copies of all their rows on each of them, halved as evenly as they go."""
+    copies = entropy_mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    each = copies.select(F.col("doc_id").alias("mix_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
+    found = docs.join(each, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return found.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2,048 tokens; each copy of a document is packed on its own."""
+    return cost_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language ID", language), ("exact dedup", exact), ("MinHash near-dedup", near), ("mixing", mix), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents. What a stage returns is written to the shared folder and read again as the next one's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    for number, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if number + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    raise AssertionError("no stages")
