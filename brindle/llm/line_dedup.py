@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import BLANKS, text_of
+from brindle.llm.shared import BLANKS, cut, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lines of one bitmap word.
@@ -42,8 +42,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(F.col(text_col))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     key = line_key(F.col("line"))
-    hashed = lines.where(F.char_length(key) >= min_chars).select(
-        F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(salts)).cast("byte").alias("part"), "doc_id", "text_hash", "pos"
+    # Written once: ranging would else split and hash all texts again to find its bounds, and for each use.
+    hashed = cut(
+        lines.where(F.char_length(key) >= min_chars).select(
+            F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(salts)).cast("byte").alias("part"), "doc_id", "text_hash", "pos"
+        )
     )
 
     def firsts(rows: DataFrame, *by: str) -> DataFrame:
