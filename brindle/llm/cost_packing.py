@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -18,30 +20,96 @@ from brindle.llm.shared import ship, text_of
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class WordEncoder:
-    """Token ids of a text, by the ids of its space-separated parts.
+#: Stands between parts that are encoded together; its bytes are found again in the ids.
+MARK = "\ue000"
+#: Characters that a part may end on and that make a token of their own after a letter or digit.
+TAIL = "%*&$#!?.,;:|)]}"
+
 
-    Exact for a tokenizer that never looks across a space: its pattern's tokens hold no white space and its
-    normaliser works within parts. A part is encoded once and remembered; the memory is emptied when it
-    holds ``most`` parts. Texts with the mark of a special token go to the tokenizer whole.
+class WordEncoder:
+    """Token ids of texts, by the ids of their space-separated parts.
+
+    Exact for a byte-level tokenizer with word ends that never looks across a space: its pattern's tokens hold
+    no white space, and its normaliser composes and lowers within parts. A part's end of punctuation is a token of its own,
+    and the rest (in lower case, if ASCII), its core, is encoded once for all parts that share it. Ids of cores
+    lie one after the other in a flat array, so a text's ids are gathered from it by array operations. All is
+    forgotten when there are ``most`` parts. Texts with the mark of a special token, or with MARK, go to the
+    tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {"": ()}
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        parts = text.replace("\n", " ").split(" ")
-        new = [p for p in set(parts) if p not in self.known]
-        if new:
-            if len(self.known) > self.most:
-                self.known = {"": ()}
-                new = list(set(parts) - {""})
-            self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, parts)), dtype="<u4")
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.word_end[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts: dict[str, int] = {}
+        self.core_of, self.tail_of = array("i"), array("i")  # by part
+        self.cores: dict[str, int] = {"": 0}
+        self.start, self.size, self.flat = array("q", [0]), array("q", [0]), array("I", [0])  # by core; the ids
+
+    def _encode(self, cores: list[str], joined: str, find_ends, skip: int) -> None:
+        """Encode cores that are joined to one text; find_ends gives the ends of their ids, ``skip`` ids lie between."""
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
+        ends = find_ends(ids)
+        if len(ends) != len(cores):
+            raise AssertionError("parts and ids don't match")
+        starts = np.concatenate(([0], ends[:-1] + skip)) if len(ends) else ends
+        self.cores.update(zip(cores, range(len(self.start), len(self.start) + len(cores))))
+        self.start.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
+        self.size.frombytes((ends - starts).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def _marks(self, ids: np.ndarray) -> np.ndarray:
+        n = len(ids) - len(self.mark) + 1
+        return np.nonzero(np.logical_and.reduce([ids[k : n + k] == m for k, m in enumerate(self.mark)]))[0]
+
+    def _learn(self, new: list[str]) -> None:
+        cores, tails = [], []
+        for part in new:
+            core = part.rstrip(TAIL)
+            if core and core[-1].isalnum():
+                tails.append(part[len(core) :])
+            else:
+                core = part
+                tails.append("")
+            cores.append(core.lower() if core.isascii() else core)
+        need = [c for c in {*cores, *tails} if c not in self.cores]
+        words = [c for c in need if c.isalpha() and (c.isascii() or (c == c.lower() and is_normalized("NFC", c)))]  # one token of the pattern each
+        others = list(set(need).difference(words))
+        for i in range(0, len(words), 50_000):
+            some = words[i : i + 50_000]
+            self._encode(some, " ".join(some), lambda ids: np.nonzero(self.word_end[ids])[0] + 1, 0)
+        for i in range(0, len(others), 50_000):
+            some = others[i : i + 50_000]
+            self._encode(some, f" {MARK} ".join([*some, ""]), self._marks, len(self.mark))
+        self.parts.update(zip(new, range(len(self.core_of), len(self.core_of) + len(new))))
+        self.core_of.extend(map(self.cores.__getitem__, cores))
+        self.tail_of.extend(map(self.cores.__getitem__, tails))
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [[] if "<|" in t or MARK in t else t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.parts) > self.most:
+            self._forget()
+        if new := [w for w in set(chain.from_iterable(plain)) if w not in self.parts]:
+            self._learn(new)
+        at = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(plain)), dtype=np.int64)
+        cores = np.empty(2 * len(at), dtype=np.int64)
+        cores[0::2], cores[1::2] = np.frombuffer(self.core_of, dtype=np.int32)[at] if len(at) else at, np.frombuffer(self.tail_of, dtype=np.int32)[at] if len(at) else at
+        size = np.frombuffer(self.size, dtype=np.int64)[cores]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        found = np.frombuffer(self.flat, dtype=np.uint32)[np.repeat(np.frombuffer(self.start, dtype=np.int64)[cores] - upto[:-1], size) + np.arange(upto[-1])]
+        bounds = upto[2 * np.cumsum([len(p) for p in plain])]
+        out = np.split(found, bounds[:-1])
+        for i, text in enumerate(texts):
+            if not plain[i]:
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -112,6 +180,19 @@ class Packer:
         return placed, over
 
 
+def runs(texts: pd.Series, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about so many characters together, with the place of the first."""
+    start, run, size = 0, [], 0
+    for i, text in enumerate(texts):
+        run.append(text)
+        size += len(text)
+        if size >= chars:
+            yield start, run
+            start, run, size = i + 1, [], 0
+    if run:
+        yield start, run
+
+
 def _pack_partition(batches: Iterator[pd.DataFrame], path: str, size: int, end_id: int, linear: float, quadratic: float, group_tokens: int) -> Iterator[pd.DataFrame]:
     words, packer = encoder(path), Packer(size, linear, quadratic)
     first = TaskContext.get().partitionId() << 40  # ids of sequences: the partition, then a count
@@ -127,12 +208,14 @@ def _pack_partition(batches: Iterator[pd.DataFrame], path: str, size: int, end_i
         ).astype({"doc_id": "Int64"})
 
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-            ids = np.append(words.ids(text), np.uint32(end_id)).astype("<u4")
-            pieces.append(((doc_id, ids), 0, len(ids)))
-            held += len(ids)
-            if held >= group_tokens:
-                yield rows(False)
+        doc_ids = batch["doc_id"].astype("Int64").tolist()
+        for start, run in runs(batch["text"]):
+            for doc_id, ids in zip(doc_ids[start:], words.ids(run)):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                pieces.append(((doc_id, ids), 0, len(ids)))
+                held += len(ids)
+                if held >= group_tokens:
+                    yield rows(False)
     if pieces:
         yield rows(True)
 
