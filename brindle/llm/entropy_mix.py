@@ -57,6 +57,7 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float
         .withColumn("lam", F.when(F.col("at_cap"), F.coalesce("hi", F.lit(0.0))).otherwise(0.0))
         .withColumn("done", F.col("at_cap") | F.col("mean_size").isNull() | (F.col("target") <= 0))
     )
+    exact = lambda terms: F.sum(terms.cast("decimal(28,8)")).cast("double")  # noqa: E731  the same in any order, so reruns agree
     for _ in range(rounds):
         if state.where("NOT done").isEmpty():
             break
@@ -67,7 +68,7 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float
             histogram.where("size > 0")
             .join(state.where("NOT done").select("key", "lam", "mean_size"), "key")
             .groupBy("key")
-            .agg(F.sum(tokens * F.least(free, F.lit(cap))).alias("got"), F.sum(F.when(free < cap, tokens * x * free).otherwise(0.0)).alias("slope"))
+            .agg(exact(tokens * F.least(free, F.lit(cap))).alias("got"), exact(F.when(free < cap, tokens * x * free).otherwise(0.0)).alias("slope"))
         )
         error = F.log(F.col("got")) - F.log(F.col("target"))
         step = F.col("lam") - error * F.try_divide(F.col("got"), F.col("slope"))
