@@ -146,6 +146,9 @@ LABELLED = """
 120 0 45 .1 30 0 -1 0
 30 0 150 0 80 0 -1 0
 60 0 12 0 0 0 -1 0
+80 0 9 0 95 0 -1 0
+60 0 12 0 110 0 -1 0
+50 .1 5 0 75 0 -1 0
 1 1 9 0 90 0 -1 0
 5 0 12 0 120 0 -1 0
 2 .9 3 1 80 0 -1 0
@@ -205,6 +208,11 @@ LABELLED = """
 3 1 9 .1 0 0 0 0
 5 .8 4 0 5 .9 0 0
 8 0 20 .8 9 1 0 0
+60 0 2 1 0 0 0 0
+42 0 2 1 0 0 0 0
+90 .1 4 1 2 1 0 0
+45 0 3 1 3 1 0 0
+55 0 9 1 70 0 0 0
 0 0 40 .9 3 1 0 0
 3 1 2 0 3 1 0 0
 4 0 3 0 4 0 0 0
