@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from brindle.errors import NotFound, QueryError
 from brindle.model import Model, Relation
 from brindle.query import Page, Query
+from brindle.sources.lineage import cut
 
 
 def tree_of(paths: tuple[str, ...]) -> dict:
@@ -186,15 +187,18 @@ def load_tree(query: Query, root, parent: str, max_depth: int) -> DataFrame:
     """The rows below a root over a self-reference, each once at its smallest ``depth`` (1 for children), down to
     ``max_depth``; live rows only, so a trashed row hides what is below it. Cycles end by themselves.
 
-    Breadth first: a join a level, on keys only; rows are fetched once at the end.
+    Breadth first: a join a level, on keys only, each level written to the checkpoint folder so that plans
+    don't nest; rows are fetched once at the end. It ends at the first empty level.
     """
     key = query.model.primary_key[0]
-    live = query.select(key, parent).frame()
+    live = cut(query.select(key, parent).frame())
     found = level = live.where(F.col(parent) == root).where(F.col(key) != root).select(F.col(key).alias("_id"), F.lit(1).alias("depth"))
     for depth in range(2, max_depth + 1):
         child = live.select(F.col(key).alias("_id"), F.col(parent).alias("_up")).where(F.col("_id") != root)
         step = level.select(F.col("_id").alias("_up")).distinct()
-        level = child.join(step, "_up").select("_id").distinct().join(found.select("_id"), "_id", "left_anti").select("_id", F.lit(depth).alias("depth"))
+        level = cut(child.join(step, "_up").select("_id").distinct().join(found.select("_id"), "_id", "left_anti").select("_id", F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
         found = found.union(level)
     rows = query.frame()
     return rows.join(found, rows[key] == found["_id"]).drop("_id")
