@@ -158,7 +158,7 @@ class Update(Filters, Alternatives):
     def _assign(self, column, make: Callable[[Column, T.DataType], Column]) -> Update:
         name = last(name_of(column))
         kind = self._kind(name)
-        return replace(self, assignments=(*self.assignments, (name, lambda: make(F.col(name), kind).cast(kind))))
+        return replace(self, assignments=(*self.assignments, (name, lambda before: make(before, kind).cast(kind))))
 
     def set(self, column, value) -> Update:
         return self._assign(column, lambda _, kind: literal(value, kind))
@@ -229,7 +229,7 @@ class Update(Filters, Alternatives):
         return self._assign(column, lambda c, kind: F.coalesce(c, literal(default, kind)))
 
     def change(self) -> Change:
-        """All assignments see the row as it was."""
+        """Assignments see the row as it was, except that one to a column changed before goes on from there."""
         query = self.query
         if query.clauses.error:
             raise query.clauses.error
@@ -237,7 +237,9 @@ class Update(Filters, Alternatives):
         names = query.model.names
         if not self.assignments:
             return Change(query.db, query.model.table, df.select(*names), df.select(*names).limit(0))
-        new = {name: make() for name, make in self.assignments}
+        new: dict[str, Column] = {}
+        for name, make in self.assignments:
+            new[name] = make(new.get(name, F.col(name)))
         marked = df.withColumn("_hit", hit)
         out = marked.select(*[F.when(F.col("_hit"), new[n]).otherwise(F.col(n)).alias(n) if n in new else F.col(n) for n in names], "_hit")
         return Change(query.db, query.model.table, out.select(*names), out.where("_hit").select(*names))
