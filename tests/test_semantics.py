@@ -248,3 +248,15 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     names = set(entry.queries())
     assert set(entry.oracle_sql()) <= names and "top_lines" in names
+
+
+def test_plans_reach_the_scan(spark):
+    """Filters and columns reach the Parquet scan; a sorted limit is a top-k, not a sort."""
+    from brindle.tables import LINEITEM
+
+    base = Database(spark, "/root/testdata/sf0.001")
+    query = Query(LINEITEM, base).select("l_orderkey").where_gt("l_quantity", 10).where_eq("l_returnflag", "R").order_asc("l_orderkey").limit(5)
+    plan = query.plan()
+    assert "GreaterThan(l_quantity,10.0)" in plan and "EqualTo(l_returnflag,R)" in plan
+    assert "TakeOrderedAndProject" in plan and "l_comment" not in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
