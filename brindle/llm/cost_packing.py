@@ -37,7 +37,7 @@ class WordEncoder:
     tokenizer whole.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -216,6 +216,7 @@ def _pack_partition(batches: Iterator[pd.DataFrame], path: str, size: int, end_i
                 held += len(ids)
                 if held >= group_tokens:
                     yield rows(False)
+    words._forget()  # workers are used again, also for other work
     if pieces:
         yield rows(True)
 

@@ -45,11 +45,15 @@ def letters(text: str) -> np.ndarray:
 class Space:
     """Random letter vectors and the n-gram vectors bound from them, all of +1 and -1."""
 
-    def __init__(self, dims: int, n: int, seed: int, most: int = 30_000):
+    def __init__(self, dims: int, n: int, seed: int, most: int = 20_000):
         self.n, self.most = n, most
         self.atoms = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, dims), dtype=np.int8) * 2 - 1
         self.rolled = [np.roll(self.atoms, n - 1 - k, axis=1) for k in range(n)]  # the letter k places before the last is permuted so many times
-        self.codes, self.vectors = np.zeros(0, dtype=np.int64), np.zeros((0, dims), dtype=np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the remembered n-gram vectors: workers are used again, also for other work."""
+        self.codes, self.vectors = np.zeros(0, dtype=np.int64), np.zeros((0, self.atoms.shape[1]), dtype=np.int8)
 
     def bind(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of n-grams: the product of their letters' permuted vectors."""
@@ -74,10 +78,11 @@ class Space:
         missing = codes[(at >= len(self.codes)) | (self.codes[np.minimum(at, len(self.codes) - 1)] != codes)] if len(self.codes) else codes
         if len(missing):
             if len(self.codes) + len(missing) > self.most:
-                self.codes, self.vectors, missing = np.zeros(0, dtype=np.int64), self.vectors[:0], codes
+                self.forget()
+                missing = codes
             all_codes = np.concatenate((self.codes, missing))
             order = np.argsort(all_codes, kind="stable")
-            self.vectors = np.concatenate((self.vectors, self.bind(missing).astype(np.float32)))[order]
+            self.vectors = np.concatenate((self.vectors, self.bind(missing)))[order]
             self.codes = all_codes[order]
         return np.searchsorted(self.codes, codes)
 
@@ -89,7 +94,7 @@ class Space:
         counts = np.zeros((len(texts), len(codes)), dtype=np.float32)
         for i, (c, n) in enumerate(counted):
             counts[i, np.searchsorted(codes, c)] = n
-        sums = counts @ self.vectors[where]
+        sums = counts @ self.vectors[where].astype(np.float32)
         return sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
 
 
@@ -122,6 +127,7 @@ def _bundle_partition(batches: Iterator[pd.DataFrame], dims: int, n: int, seed:
                 for i, vector in zip(keep, own.bundles([symbols[i] for i in keep])):
                     lang = langs[start + i]
                     sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
+    own.forget()
     for lang, vector in sums.items():
         yield pd.DataFrame({"lang": lang, "dim": np.arange(dims), "value": vector})
 
@@ -153,8 +159,10 @@ def hd_language(
     n: int = 3,
     seed: int = 5,
     keep: tuple[str, ...] = (),
+    keep_text: bool = False,
 ) -> DataFrame:
-    """Language of every whole text: doc_id, lang_pred, score and the columns in ``keep``; one row per row.
+    """Language of every whole text: doc_id, lang_pred, score and the columns in ``keep``; one row per row. With
+    ``keep_text`` the text comes along as ``text`` (null: empty).
 
     Letters have random vectors of +1 and -1; an n-gram's vector is the product of its letters' vectors,
     each permuted by its place; a document's is the sum over its n-grams. The language is that of the
@@ -184,8 +192,9 @@ def hd_language(
                     best = (vectors @ centred).argmax(axis=1)
                     found[[start + i for i in at]] = [langs[b] for b in best]
                     scores[[start + i for i in at]] = np.clip((vectors @ plain)[np.arange(len(at)), best], 0, 1)
-            yield batch.drop(columns="text").assign(lang_pred=found, score=scores)
+            yield (batch if keep_text else batch.drop(columns="text")).assign(lang_pred=found, score=scores)
+        own.forget()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], text_of(F.col(text_col)).alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (narrow.schema.fields if keep_text else narrow.schema.fields[:-1])]
     return narrow.mapInPandas(predict, ", ".join([*fields, "lang_pred string", "score double"]))

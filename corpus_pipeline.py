@@ -25,9 +25,9 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that have no language (null texts, texts without a letter). Learned as op8 is: the
     rows with crc32(doc_id as text) mod 4 = 2 take no part. Rows that share an id stand or fall by themselves."""
-    columns = docs.columns
-    marked = hd_language(docs.withColumn("own_text", F.col("text")), remainder(F.col("doc_id"), 4) != 2, keep=tuple(c for c in columns if c not in ("doc_id", "text")) + ("own_text",))
-    return marked.where("lang_pred <> 'und'").withColumnRenamed("own_text", "text").select(*columns)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = hd_language(docs, remainder(F.col("doc_id"), 4) != 2, keep=others, keep_text=True)
+    return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
