@@ -27,7 +27,7 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower()) or text.split()
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=200_000)
 def _word_hash(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -110,6 +110,65 @@ def _node(words: list[str]) -> bytes:
     return blake2b("\x1f".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _links(rows: pd.DataFrame, starts: np.ndarray, min_shared: int, similarity: float) -> pd.DataFrame:
+    """Links between components, in groups of nodes that lie one after the other: a, b, at most one fewer than nodes a group.
+
+    A pair of blocks ``lo`` and ``hi`` of a bucket is compared whole, but for pairs that are connected already. A
+    pair that shares an earlier sketch is left to that bucket. The k-mers that a node shares with all others are
+    counted over an index of the group, so that only pairs that may reach ``similarity`` are aligned.
+    """
+    nodes, lo, hi, own, sketch = (rows[c].to_numpy() for c in ("node", "lo", "hi", "own", "i"))
+    comp = pd.factorize(rows["comp"])[0]
+    keys = np.array(rows["keys"].tolist(), dtype=np.int64).reshape(len(rows), -1)
+    kmers = [np.asarray(x) for x in rows["kmers"]]
+    n = np.array([len(x) for x in kmers], dtype=np.int64)
+    out = []
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)]):
+        if (comp[start:stop] == comp[start]).all():
+            continue
+        left = start + np.nonzero(own[start:stop] == lo[start])[0]
+        right = left if lo[start] == hi[start] else start + np.nonzero(own[start:stop] == hi[start])[0]
+        if not len(left) or not len(right):
+            continue
+        root = {c: c for c in set(comp[start:stop].tolist())}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        label = comp[start:stop].copy()
+        postings = None
+        for r in left.tolist():
+            fits = (label[right - start] != label[r - start]) & (np.minimum(n[right], n[r]) >= np.maximum(n[right], n[r]) * (similarity - 1e-12))
+            if left is right:
+                fits &= right > r
+            at = np.nonzero(fits)[0]
+            if not len(at):
+                continue
+            equal = keys[right[at]] == keys[r]
+            at = at[(equal.sum(axis=1) >= min_shared) & ~equal[:, : sketch[start]].any(axis=1)]
+            if not len(at):
+                continue
+            if len(at) > 8:
+                if postings is None:  # k-mers of the right side in order, with the place of their node
+                    flat = np.concatenate([kmers[j] for j in right])
+                    order = np.argsort(flat, kind="stable")
+                    postings = flat[order], np.repeat(np.arange(len(right)), n[right])[order]
+                first, last = (np.searchsorted(postings[0], kmers[r], side=side) for side in ("left", "right"))
+                spans = last - first
+                hits = postings[1][np.repeat(first - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())]
+                common = np.bincount(hits, minlength=len(right))[at]
+                at = at[common >= (similarity - 1e-12) * (n[right[at]] + n[r] - common)]
+            for j in right[at].tolist():
+                x, y = find(int(comp[r])), find(int(comp[j]))
+                if x != y and aligned_similarity(kmers[r], kmers[j], similarity):
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(nodes[r], nodes[j]), max(nodes[r], nodes[j])))
+                    label = np.array([find(c) for c in comp[start:stop].tolist()])
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -133,9 +192,9 @@ def near_duplicates(
     3. In each bucket (nodes that share a value), every node is paired with the node that has the most company over all
        buckets: the original of a group of copies. Of these pairs each node keeps the best. They are
        verified, and linked ones merge.
-    4. Only buckets that still hold several components are looked at again: every node takes its best
-       partners in other components, in blocks of nodes, until no pair of a bucket that could be a link is
-       left unverified. Members of a component are never paired again, so groups of copies stay linear.
+    4. Only buckets that still hold several components are looked at again, in pairs of blocks of at most
+       about ``block`` nodes, each of which a task compares whole: no pair of a bucket that could be a link is
+       left out. Pairs stay inside the task; it returns links that connect components, fewer than it has nodes.
 
     Nothing of this reaches the driver but counts. A bucket or group of any size is dealt over tasks: it
     meets in minima and counts (map-side first), in joins (which Spark splits), or in blocks.
@@ -157,6 +216,7 @@ def near_duplicates(
             out = pd.DataFrame(rows, columns=["node", "n_words", "n", "keys"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").array)
             yield out
+        _word_hash.cache_clear()  # workers are used again, also for other work
 
     rows = cut(narrow.mapInPandas(sketch, "doc_id long, node binary, n_words int, n int, keys array<long>"))
     nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
@@ -164,18 +224,23 @@ def near_duplicates(
     shared = entries.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = cut(entries.join(shared, ["i", "key"]))
 
-    def with_texts(pairs: DataFrame) -> DataFrame:
-        """a, b, similarity of the pairs; the shingles are made anew from the texts of the nodes that occur."""
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+    def shingled(wanted: DataFrame) -> DataFrame:
+        """node, kmers of the wanted nodes, made anew from their texts."""
+        needed = wanted.join(nodes.select("node", "rep"), "node")
 
         def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 made = [(_node(w), (labelled_kmers(w, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for w in map(words_of, batch["text"])]
                 yield pd.DataFrame(made, columns=["node", "kmers"])
+            _word_hash.cache_clear()
 
         texts = narrow.join(needed.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         made = texts.mapInPandas(shingles, "node binary, kmers array<int>").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        made = cut(made)
+        return cut(made)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """a, b, similarity of the pairs."""
+        made = shingled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(made.withColumnsRenamed({"node": "a", "kmers": "ka"}), "a").join(made.withColumnsRenamed({"node": "b", "kmers": "kb"}), "b")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,52 +259,36 @@ def near_duplicates(
     agree = F.expr("aggregate(zip_with(keys, other_keys, (x, y) -> cast(x = y as int)), 0, (s, x) -> s + x)")
     fits = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-12)
     best = sized.where(fits).withColumn("agree", agree).where(F.col("agree") >= min_shared).groupBy("node").agg(F.max(F.struct("agree", "other")).alias("best"))
-    checked = with_texts(cut(best.select("node", F.col("best.other").alias("other")).select(*pair).distinct()))
+    checked = verified(cut(best.select("node", F.col("best.other").alias("other")).select(*pair).distinct()))
     labels = components(checked.where("similarity > 0"))
 
-    partners = 4
-    while True:
-        placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = placed.groupBy("i", "key").agg((F.min("comp") != F.max("comp")).alias("several")).where("several").select("i", "key")
-        rest = placed.join(open_, ["i", "key"]).join(info, "node")
-        n_blocks = F.ceil(F.col("size") / block).cast("int")
-        own = rest.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-        dealt = own.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumns({"lo": F.least("own", "to"), "hi": F.greatest("own", "to")})
-
-        def propose(_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            left = pdf[pdf["own"] == pdf["lo"].iloc[0]]
-            right = pdf[pdf["own"] == pdf["hi"].iloc[0]]
-            codes = {c: j for j, c in enumerate(dict.fromkeys(pdf["comp"]))}
-            keys = lambda x: np.array(x["keys"].tolist(), dtype=np.int64).reshape(len(x), -1)
-            ka, kb, na, nb = keys(left), keys(right), left["n"].to_numpy(), right["n"].to_numpy()
-            ca, cb = left["comp"].map(codes).to_numpy(), right["comp"].map(codes).to_numpy()
-            a, b, out = left["node"].to_numpy(), right["node"].to_numpy(), []
-            for r in range(len(left)):
-                ok = (cb != ca[r]) & (np.minimum(nb, na[r]) >= np.maximum(nb, na[r]) * (similarity - 1e-12))
-                at = np.nonzero(ok)[0]
-                if len(at):
-                    score = (kb[at] == ka[r]).sum(axis=1)
-                    at, score = at[score >= min_shared], score[score >= min_shared]
-                    order = np.lexsort((at, -score))
-                    taken: dict[int, int] = {}
-                    for j in order.tolist():
-                        c = int(cb[at[j]])
-                        taken[c] = taken.get(c, 0) + 1
-                        if taken[c] <= partners:
-                            out.append((min(a[r], b[at[j]]), max(a[r], b[at[j]]), False))
-                    out += [(a[r], a[r], True)] * any(n > partners for n in taken.values())
-            return pd.DataFrame(out, columns=["a", "b", "more"])
-
-        found = cut(dealt.groupBy("i", "key", "lo", "hi").applyInPandas(propose, "a binary, b binary, more boolean"))
-        new = cut(found.where("NOT more").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            again = with_texts(new)
-            checked = cut(checked.unionByName(again))
-            if not again.where("similarity > 0").isEmpty():
-                labels = components(checked.where("similarity > 0"))
-        if found.where("more").isEmpty():
-            break
-        partners *= 8
+    placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = placed.groupBy("i", "key").agg((F.min("comp") != F.max("comp")).alias("several")).where("several").select("i", "key")
+    rest = cut(placed.join(open_, ["i", "key"]))
+    made = shingled(rest.select("node").distinct())
+    n_blocks = F.ceil(F.col("size") / block).cast("int")
+    own = rest.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    dealt = own.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumns({"lo": F.least("own", "to"), "hi": F.greatest("own", "to")})
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups stream by in order; a group that a batch cuts waits for its rest."""
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            marks = [held[c].to_numpy() for c in ("i", "key", "lo", "hi")]
+            new = np.logical_or.reduce([m[1:] != m[:-1] for m in marks])
+            starts = np.concatenate(([0], np.nonzero(new)[0] + 1))
+            if len(starts) > 1:
+                yield _links(held.iloc[: starts[-1]], starts[:-1], min_shared, similarity)
+                held = held.iloc[starts[-1] :].reset_index(drop=True)
+        if held is not None:
+            yield _links(held, np.array([0]), min_shared, similarity)
+
+    at = ["i", "key", "lo", "hi"]
+    full = dealt.select(*at, "own", "node", "comp").join(info.select("node", "keys"), "node").join(made, "node")
+    new = cut(full.repartition(*at).sortWithinPartitions(*at).mapInPandas(link, "a binary, b binary").distinct())
+    if not new.isEmpty():
+        labels = components(checked.where("similarity > 0").select("a", "b").unionByName(new))
 
     comp = rows.select("doc_id", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = comp.where("n_words > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
