@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,52 +18,74 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
 
-def features(text: str) -> set[str]:
-    """Distinct lower-case words of a whole text, and their beginnings (marked by a star)."""
-    words = set(LETTERS.findall(text.lower()))
-    for n in PREFIXES:
-        words |= {w[:n] + "*" for w in words if len(w) > n and w[-1] != "*"}
-    return words
+def hashes(word: str) -> tuple[int, ...]:
+    """Features of a lower-case word, as 32-bit hashes: the word, and its beginnings (marked by a star)."""
+    return tuple(crc32(x.encode("utf-8", "surrogatepass")) for x in (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)))
 
 
-def choose(positive: list[set[str]], unlabelled: list[set[str]], least: int, ratio: float) -> list[str]:
-    """Features that positives have in ``least`` documents or more and ``ratio`` times as often as unlabelled texts, in order."""
-    count: dict[str, list[int]] = {}
-    for group, texts in enumerate((positive, unlabelled)):
-        for found in texts:
-            for f in found:
-                count.setdefault(f, [0, 0])[group] += 1
-    scale = max(1, len(unlabelled)) / max(1, len(positive))
-    return sorted(f for f, (p, u) in count.items() if p >= least and p * scale >= ratio * (u + 1))
+def words_of(text: str) -> set[str]:
+    """Distinct lower-case words of a whole text."""
+    return set(LETTERS.findall(text.lower()))
 
 
-def design(texts: list[set[str]], index: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(texts), len(index)), dtype=np.float32)
-    for i, found in enumerate(texts):
-        hits = [index[f] for f in found if f in index]
-        x[i, hits] = 1
-    return x
+def features(text: str) -> np.ndarray:
+    """Sorted distinct features of a whole text."""
+    return np.unique(np.fromiter((h for w in words_of(text) for h in hashes(w)), dtype=np.uint32))
 
 
-def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def places(text: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Where the features of a text are among the sorted names; those that aren't are left out."""
+    at = np.searchsorted(names, text)
+    return at[names[np.minimum(at, len(names) - 1)] == text] if len(names) else at[:0]
+
+
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int, ratio: float) -> np.ndarray:
+    """Features, sorted, that ``least`` positives or more have, and positives ``ratio`` times as often as unlabelled texts."""
+    if not positive:
+        return np.zeros(0, dtype=np.uint32)
+    found, p = np.unique(np.concatenate(positive), return_counts=True)
+    found, p = found[p >= least], p[p >= least]
+    u = np.zeros(len(found), dtype=np.int64)
+    for text in unlabelled:
+        u[places(text, found)] += 1
+    return found[p * max(1, len(unlabelled)) >= ratio * (u + 1) * len(positive)]
+
+
+class Rows:
+    """A sparse matrix of zeros and ones: a row for each text, a column for each chosen feature."""
+
+    def __init__(self, texts: list[np.ndarray], names: np.ndarray):
+        hits = [places(t, names) for t in texts]
+        self.n, self.width = len(texts), len(names)
+        self.row = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
+        self.column = np.concatenate([*hits, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=g[self.row], minlength=self.width)
+
+
+def fit_nnpu(xp: Rows, xu: Rows, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear classifier by the non-negative risk estimator, with the sigmoid loss l(z) = 1 / (1 + exp(z)).
 
     Risk: prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]). While the second term (the risk on
     negatives, corrected for the positives among the unlabelled texts) is below zero, the step goes along
     -gamma times its gradient instead. Full batches and Adam, from zero: the result is a function of the input.
     """
-    w, m, v = np.zeros(xp.shape[1] + 1), np.zeros(xp.shape[1] + 1), np.zeros(xp.shape[1] + 1)
+    w, m, v = (np.zeros(xp.width + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior)) / 4
     loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))
 
-    def slope(x: np.ndarray, f: np.ndarray, sign: float) -> np.ndarray:
+    def slope(x: Rows, f: np.ndarray, sign: float) -> np.ndarray:
         """Gradient of the mean of l(sign * f)."""
         s = loss(sign * f)
         g = -sign * s * (1 - s) / max(1, len(f))
-        return np.append(x.T @ g, g.sum())
+        return np.append(x.back(g), g.sum())
 
     for t in range(1, steps + 1):
-        fp, fu = xp @ w[:-1] + w[-1], xu @ w[:-1] + w[-1]
+        fp, fu = xp.sums(w[:-1]) + w[-1], xu.sums(w[:-1]) + w[-1]
         negative = loss(-fu).mean() - prior * loss(-fp).mean()
         part = slope(xu, fu, -1) - prior * slope(xp, fp, -1)
         g = prior * slope(xp, fp, 1) + part if negative >= 0 else -gamma * part
@@ -72,19 +95,19 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
     return w[:-1], float(w[-1])
 
 
-def _sample(docs: DataFrame, rows: int) -> list[set[str]]:
-    """Features of the ``rows`` documents that come first by a hash of the id; sets of words reach the driver, never more than ``rows``."""
+def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> list[np.ndarray]:
+    """Features of the documents with the ``rows`` of the ids that come first by a hash: 4 bytes a feature reach the driver, of never more documents."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "words": [" ".join(sorted(set(LETTERS.findall(t.lower())))) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [features(t).tobytes() for t in batch["text"]]})
 
-    first = docs.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)  # at most `rows` ids: small enough to broadcast
-    chosen = docs.join(F.broadcast(first), "doc_id", "left_semi").mapInPandas(found, "doc_id long, words string").toPandas()
-    return [features(w) for w in chosen.sort_values(["doc_id", "words"])["words"]]
+    first = ids.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)  # at most `rows` ids: small enough to broadcast
+    chosen = docs.join(F.broadcast(first), "doc_id", "left_semi").mapInPandas(found, "doc_id long, found binary").toPandas()
+    return [np.frombuffer(x, dtype=np.uint32) for x in chosen.sort_values(["doc_id", "found"])["found"]]
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, least: int, ratio: float) -> tuple[dict[str, float], float]:
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, least: int, ratio: float) -> tuple[dict[int, float], float]:
     """Weights by feature, and the bias. docs: doc_id, text; labels: doc_id, toxic (1 or 0), not null.
 
     The class prior is the share of toxic rows among all labelled ones. The classifier is fitted on at most
@@ -96,14 +119,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     if not counts["n"] or not counts["k"]:
         return {}, -10.0
     prior = min(0.95, max(0.005, counts["k"] / counts["n"]))
-    positive = _sample(docs.join(one.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), max_positive)
-    unlabelled = _sample(docs.join(one.select("doc_id"), "doc_id", "left_semi"), max_unlabelled)
+    positive = _sample(docs, one.where("toxic = 1"), max_positive)
+    unlabelled = _sample(docs, one, max_unlabelled)
     names = choose(positive, unlabelled, max(least, len(positive) // 100), ratio)
-    if not names:
+    if not len(names):
         return {}, -10.0
-    index = {f: i for i, f in enumerate(names)}
-    weights, bias = fit_nnpu(design(positive, index), design(unlabelled, index), prior)
-    return {f: float(w) for f, w in zip(names, weights) if w}, bias
+    weights, bias = fit_nnpu(Rows(positive, names), Rows(unlabelled, names), prior)
+    return {f: w for f, w in zip(names.tolist(), weights.tolist()) if w}, bias
 
 
 def nnpu_toxicity(
@@ -114,8 +136,8 @@ def nnpu_toxicity(
     toxic_col: str = "toxic",
     folds: int = 5,
     held_fold: int = 0,
-    max_positive: int = 4000,
-    max_unlabelled: int = 12_000,
+    max_positive: int = 3000,
+    max_unlabelled: int = 8000,
     least: int = 3,
     ratio: float = 3.0,
 ) -> DataFrame:
@@ -134,19 +156,19 @@ def nnpu_toxicity(
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"), held(F.col(id_col)).alias("held_out"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).dropna()
     weights, bias = learn(narrow.where("NOT held_out").select("doc_id", "text"), known.where(~held(F.col("doc_id"))), max_positive, max_unlabelled, least, ratio)
-    whole = {f: w for f, w in weights.items() if f[-1] != "*"}
-    starts = {n: {f[:-1]: w for f, w in weights.items() if f[-1] == "*" and len(f) == n + 1} for n in PREFIXES}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}  # the chosen features of a word; forgotten when there are very many words
         for batch in batches:
             sums = np.full(len(batch), bias)
             for i, text in enumerate(batch["text"]):
-                words = set(LETTERS.findall(text.lower()))
-                total = sum(whole[w] for w in words & whole.keys())
-                for n, known in starts.items():
-                    if known:
-                        total += sum(known[p] for p in {w[:n] for w in words if len(w) > n} & known.keys())
-                sums[i] += total
+                words = words_of(text)
+                if len(known) > 500_000:
+                    known = {}
+                for w in words:
+                    if w not in known:
+                        known[w] = tuple(h for h in hashes(w) if h in weights)
+                sums[i] += sum(weights[h] for h in sorted({h for w in words for h in known[w]}))
             scores = 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "held_out": batch["held_out"], "score": scores, "predicted": (scores >= 0.5).astype(np.int32)})
 
