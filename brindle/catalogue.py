@@ -178,6 +178,11 @@ def select_raw(db):
     return Query(LINEITEM, db).select("l_orderkey", "l_linenumber").select_raw("l_extendedprice * (1 - l_discount) AS net").where_lt("l_orderkey", 1000).frame()
 
 
+@register("SELECT l_orderkey, l_linenumber, CAST(l_extendedprice * (1 - l_discount) AS DOUBLE) AS net FROM lineitem")
+def select_raw_all(db):
+    return Query(LINEITEM, db).select("l_orderkey", "l_linenumber").select_raw("l_extendedprice * (1 - l_discount) AS net").frame()
+
+
 @register("SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation")
 def select_subquery(db):
     sub = Query(CUSTOMER, db).select_raw("count(*) AS n").where_col(_outer("c_nationkey", "n_nationkey"))
