@@ -543,6 +543,13 @@ def eager_nested(db):
     return rows.select("c_custkey", F.size("orders").cast("bigint").alias("orders"), lines.alias("lines"))
 
 
+@register("SELECT c_custkey, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS orders, CAST(count(l_orderkey) AS BIGINT) AS lines FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def eager_nested_all(db):
+    rows = Eager(Query(CUSTOMER, db)).with_("orders.lines").frame()
+    lines = F.aggregate(F.transform("orders", lambda o: F.size(o["lines"]).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return rows.select("c_custkey", F.size("orders").cast("bigint").alias("orders"), lines.alias("lines"))
+
+
 @register("SELECT s_suppkey, CAST(count(DISTINCT p_partkey) AS BIGINT) AS parts FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1")
 def eager_through(db):
     return Eager(Query(SUPPLIER, db)).with_("parts").frame().select("s_suppkey", F.size("parts").cast("bigint").alias("parts"))
