@@ -353,6 +353,12 @@ def count_and_distinct(db):
     return db.spark.createDataFrame([(query.order_asc("ts").limit(1).count(), query.count_distinct("event_type"))], "n bigint, kinds bigint")
 
 
+@register("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds FROM events")
+def count_and_distinct_all(db):
+    query = Query(EVENTS, db)
+    return db.spark.createDataFrame([(query.order_asc("ts").limit(1).count(), query.count_distinct("event_type"))], "n bigint, kinds bigint")
+
+
 # windows
 
 _PART = "PARTITION BY user_id ORDER BY ts, event_id"
