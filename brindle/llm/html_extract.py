@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from brindle.llm.shared import ship, text_of
 
 # HTML's element names by their role here.
-#: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template iframe svg math canvas object audio video head title textarea select option datalist".split())
+#: Elements whose content is never text of the page. Not head: its end tag is optional, and text in it ends it.
+SKIPPED = frozenset("script style noscript template iframe svg math canvas object audio video title textarea select option datalist".split())
 #: Elements that mark what stands beside the main text.
 ASIDE = frozenset("nav aside footer form menu dialog button".split())
 #: Elements that mark the main text.
