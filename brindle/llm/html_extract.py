@@ -27,12 +27,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags that close an open element of the same kind, and what that search doesn't leave.
 CLOSES = {"p": "p", "li": "li", "option": "option", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd"}
-#: Words in class, id or role that mark what stands beside the main text.
-HINTS = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice notices alert popup modal newsletter subscribe signup login search "
-    "sidebar side rail widget related recommended share sharing social nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc footer header masthead "
-    "comment comments disqus discussion replies reply respond complementary contentinfo dialog form".split()
+#: Words in class or id that mark what stands beside the main text, and words that names of main text have as well.
+FIRM = frozenset(
+    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe signup login sidebar widget nav navbar "
+    "breadcrumb breadcrumbs pagination pager footer comment comments replies disqus".split()
 )
+SOFT = frozenset("banner promotion notice notices alert search side rail related recommended share sharing social navigation menu toc header masthead discussion reply respond complementary contentinfo dialog form".split())
+#: Words beside them that say nothing of the content, and words that turn a name into one of a wrapper's layout.
+PLAIN = frozenset("site page main global top bottom left right primary secondary container wrapper wrap box block bar list item inner outer area section content body slot unit text post entry article blog js id mobile desktop sticky fixed panel group".split())
+LAYOUT = frozenset("with without no non not has have".split())
+#: Soft words for parts of the main text, where they stand in it; firm words whose articles are no main text.
+PARTS = frozenset("header masthead discussion form".split())
+THREADS = frozenset("comment comments replies disqus".split())
+#: Values of role that mark what stands beside the main text.
+ROLES = frozenset("navigation complementary contentinfo search dialog form menu alert".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -43,24 +51,46 @@ ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
-#: What a block stands in: beside the main text, unknown, in the main text.
-BESIDE, UNKNOWN, INSIDE = -1, 0, 1
+#: What a block stands in: beside the main text, where a name hints at that, unknown, in the main text.
+BESIDE, HINTED, UNKNOWN, INSIDE = -2, -1, 0, 1
+#: While a page is read: below a firm name, below one for comments, in an article below any other name.
+MARKED, THREAD, NESTED = -3, -4, 2
 
 
-def _zone(name: str, attrs: str, zone: int, inside_main: bool) -> int:
+def _hint(name: str, inside: bool) -> int:
+    """The zone that one name of a class or id hints at; INSIDE for no hint."""
+    words = set(WORDS.findall(name))
+    hints = words & (FIRM | SOFT)
+    if not hints or words & LAYOUT:
+        return INSIDE
+    known = words - hints <= PLAIN
+    if hints & FIRM:
+        return HINTED if not known else THREAD if hints & THREADS else MARKED
+    return INSIDE if inside and (not known or hints <= PARTS) else HINTED
+
+
+def _zone(name: str, attrs: str, zone: int) -> int:
+    inside = zone in (INSIDE, NESTED)
     if zone == BESIDE:
         return BESIDE
-    if name in ASIDE or (name == "header" and not inside_main):
+    if name in ASIDE or (name == "header" and not inside):
         return BESIDE
-    if attrs and name not in ("body", "html"):
+    if name == "article" and zone in (HINTED, MARKED, NESTED):
+        return NESTED
+    if name in MAIN:
+        return THREAD if zone == THREAD and name == "article" else INSIDE
+    if attrs and name not in ("body", "html") and not re.fullmatch("h[1-6]", name):
         for m in ATTR.finditer(attrs):
-            if HINTS.intersection(WORDS.findall((m[2] or m[3] or m[4] or "").lower())) and name not in MAIN and not re.fullmatch("h[1-6]", name):
-                return BESIDE
-    return INSIDE if name in MAIN else zone
+            for word in (m[2] or m[3] or m[4] or "").lower().split():
+                if m[1].lower() != "role":
+                    zone = min(zone, _hint(word, inside))
+                elif word in ROLES or (word == "banner" and not inside):
+                    return BESIDE
+    return zone
 
 
 def blocks(html: str) -> list[tuple[str, int, int, int]]:
-    """The page as flat blocks in order: (text, words, words in links, zone). Only blocks with text are listed."""
+    """The page as flat blocks in order: (text, words, words in links, zone; MARKED where only a firm name marks it). Only blocks with text are listed."""
     found: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int]] = []  # open elements with the zone around their content
     pieces: list[str] = []
@@ -115,12 +145,14 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
         if name in VOID or m["attrs"].endswith("/"):
             continue
         stack.append((name, zone))
-        zone = _zone(name, m["attrs"], zone, zone == INSIDE)
+        zone = _zone(name, m["attrs"], zone)
         links += name == "a"
         skipping += name in SKIPPED
     add(html[at:])
     close()
-    return found
+    nested = HINTED if any(b[3] == INSIDE for b in found) else INSIDE  # the only articles are the main text, whatever is around them
+    final = {NESTED: nested, THREAD: BESIDE}
+    return [(*b[:3], final.get(b[3], b[3])) for b in found]
 
 
 def features(page: list[tuple[str, int, int, int]]) -> np.ndarray:
@@ -128,40 +160,76 @@ def features(page: list[tuple[str, int, int, int]]) -> np.ndarray:
     words = np.array([0, *[b[1] for b in page], 0], dtype=float)
     links = np.array([0, *[b[2] for b in page], 0], dtype=float)
     density = np.minimum(1, links / np.maximum(words, 1))
-    zone = np.array([b[3] for b in page], dtype=float)
+    zone = np.array([BESIDE if b[3] == MARKED else b[3] for b in page], dtype=float)
     return np.column_stack([x for k in (0, 1, 2) for x in (words[k : k + len(page)], density[k : k + len(page)])] + [zone])
 
 
 # The labelled table. A row is a block of a page, labelled by hand: words and link density of the
 # block before, of the block, of the block after; zone; 1 for main text.
 LABELLED = """
+0 0 1 1 1 1 -2 0
+1 1 1 1 1 1 -2 0
+1 1 1 1 9 0 -2 0
+1 1 9 0 8 0 -2 0
+9 0 30 0 40 0 -2 0
+40 0 60 0 25 0 -2 0
+60 0 25 0 0 0 -2 0
+80 0 9 0 0 0 -2 0
+120 0 45 .1 30 0 -2 0
+30 0 150 0 80 0 -2 0
+60 0 12 0 0 0 -2 0
+80 0 9 0 95 0 -2 0
+60 0 12 0 110 0 -2 0
+50 .1 5 0 75 0 -2 0
+1 1 9 0 90 0 -2 0
+5 0 12 0 120 0 -2 0
+2 .9 3 1 80 0 -2 0
+30 0 11 0 200 0 -2 0
+7 0 6 0 75 0 -2 0
+90 0 8 0 5 .8 -2 0
+45 0 5 0 0 0 -2 0
+200 0 10 0 30 0 -2 0
+75 .1 13 0 2 1 -2 0
+50 0 2 0 6 0 -2 0
+110 0 70 0 12 0 -2 0
+2 .5 12 .2 90 0 -2 0
+5 0 3 0 4 0 -2 0
+0 0 80 0 60 0 -1 1
+1 0 60 0 45 0 -1 1
+60 0 45 0 2 1 -1 1
+80 0 30 .05 40 0 -1 1
+3 0 35 0 3 0 -1 1
+4 1 50 .1 70 0 -1 1
+45 0 120 .15 0 0 -1 1
+2 0 26 0 24 0 -1 1
+90 0 26 .05 4 1 -1 1
+0 0 200 0 0 0 -1 1
+26 0 24 0 30 0 -1 1
+70 0 14 0 60 0 -1 1
+40 0 9 0 55 0 -1 1
+60 0 1 0 70 0 -1 1
+50 0 2 0 26 0 -1 1
+4 0 2 0 60 0 -1 1
+0 0 3 0 40 0 -1 1
+2 1 1 0 30 0 -1 1
 0 0 1 1 1 1 -1 0
-1 1 1 1 1 1 -1 0
-1 1 1 1 9 0 -1 0
-1 1 9 0 8 0 -1 0
-9 0 30 0 40 0 -1 0
-40 0 60 0 25 0 -1 0
-60 0 25 0 0 0 -1 0
-80 0 9 0 0 0 -1 0
-120 0 45 .1 30 0 -1 0
-30 0 150 0 80 0 -1 0
-60 0 12 0 0 0 -1 0
-80 0 9 0 95 0 -1 0
-60 0 12 0 110 0 -1 0
-50 .1 5 0 75 0 -1 0
-1 1 9 0 90 0 -1 0
-5 0 12 0 120 0 -1 0
-2 .9 3 1 80 0 -1 0
-30 0 11 0 200 0 -1 0
-7 0 6 0 75 0 -1 0
-90 0 8 0 5 .8 -1 0
-45 0 5 0 0 0 -1 0
-200 0 10 0 30 0 -1 0
-75 .1 13 0 2 1 -1 0
-50 0 2 0 6 0 -1 0
-110 0 70 0 12 0 -1 0
-2 .5 12 .2 90 0 -1 0
-5 0 3 0 4 0 -1 0
+1 1 2 1 60 0 -1 0
+60 0 3 1 4 1 -1 0
+5 1 6 1 5 1 -1 0
+3 0 30 .8 5 1 -1 0
+40 0 45 .7 9 1 -1 0
+70 0 60 .9 0 0 -1 0
+50 0 12 1 60 0 -1 0
+2 0 6 .5 3 0 -1 0
+1 0 9 0 1 1 -1 0
+4 0 4 0 5 1 -1 0
+90 0 4 0 2 1 -1 0
+60 0 5 0 0 0 -1 0
+4 1 11 0 3 0 -1 0
+3 0 2 0 4 0 -1 0
+80 0 14 0 1 1 -1 0
+2 0 12 0 2 0 -1 0
+0 0 8 0 3 1 -1 0
 9 0 8 0 40 0 1 1
 0 0 6 0 55 0 1 1
 8 0 1 0 70 0 1 1
@@ -260,8 +328,10 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 7) -> dict:
 
 @lru_cache(maxsize=1)
 def tree() -> dict:
+    """Split by zone first: hinted blocks have a tree of their own, so their rows don't move the bounds of the others."""
     rows = np.array([[float(v) for v in line.split()] for line in LABELLED.split("\n") if line])
-    return grow(rows[:, :-1], rows[:, -1])
+    hinted, others = (grow(r[:, :-1], r[:, -1]) for r in (rows[rows[:, 6] == HINTED], rows[rows[:, 6] != HINTED]))
+    return {"f": 6, "t": HINTED - 0.5, "low": others, "high": {"f": 6, "t": HINTED + 0.5, "low": hinted, "high": others}}
 
 
 def classify(node: dict, x: np.ndarray) -> np.ndarray:
@@ -283,6 +353,9 @@ def extract(html: str) -> str:
     if not page:
         return ""
     keep = classify(tree(), features(page))
+    if not keep.any() and any(b[3] == MARKED for b in page):  # nothing else is there: what the names say is weighed
+        page = [(*b[:3], HINTED if b[3] == MARKED else b[3]) for b in page]
+        keep = classify(tree(), features(page))
     return "\n".join(b[0] for b, k in zip(page, keep) if k)
 
 
@@ -291,7 +364,9 @@ def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A block is the text between two tags that end a line of text; its features are words and link density of
     itself and its neighbours, and the zone that its open elements (or words in their class, id, role) mark.
-    A decision tree, grown from the labelled table above, decides. White space inside a block becomes one
+    A name with a word like ``sidebar`` marks its element unless main or article is inside, or nothing else is
+    on the page; ``with-sidebar`` marks nothing; words that names of main text have as well (``discussion``)
+    are left to the tree. A decision tree, grown from the labelled table above, decides. White space inside a block becomes one
     space, character references are decoded; nothing else of a main block is dropped. No shuffle.
 
     Defined cases: null and empty pages have an empty text; cut-off tags and unclosed elements end with the
