@@ -160,9 +160,10 @@ def hd_language(
     seed: int = 5,
     keep: tuple[str, ...] = (),
     keep_text: bool = False,
+    tell_letters: bool = False,
 ) -> DataFrame:
     """Language of every whole text: doc_id, lang_pred, score and the columns in ``keep``; one row per row. With
-    ``keep_text`` the text comes along as ``text`` (null: empty).
+    ``keep_text`` the text comes along as ``text`` (null: empty), with ``tell_letters`` has_letter says whether it has one.
 
     Letters have random vectors of +1 and -1; an n-gram's vector is the product of its letters' vectors,
     each permuted by its place; a document's is the sum over its n-grams. The language is that of the
@@ -183,18 +184,20 @@ def hd_language(
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = space(dims, n, seed)
         for batch in batches:
-            found, scores = np.array(["und"] * len(batch), dtype=object), np.zeros(len(batch))
-            for start, run in chunks(batch["text"]) if langs else ():
+            found, scores, has = np.array(["und"] * len(batch), dtype=object), np.zeros(len(batch)), np.zeros(len(batch), dtype=bool)
+            for start, run in chunks(batch["text"]) if langs or tell_letters else ():
                 symbols = [letters(t) for t in run]
                 at = [i for i, s in enumerate(symbols) if s.any()]
-                if at:
+                has[[start + i for i in at]] = True
+                if at and langs:
                     vectors = own.bundles([symbols[i] for i in at])
                     best = (vectors @ centred).argmax(axis=1)
                     found[[start + i for i in at]] = [langs[b] for b in best]
                     scores[[start + i for i in at]] = np.clip((vectors @ plain)[np.arange(len(at)), best], 0, 1)
-            yield (batch if keep_text else batch.drop(columns="text")).assign(lang_pred=found, score=scores)
+            out = (batch if keep_text else batch.drop(columns="text")).assign(lang_pred=found, score=scores)
+            yield out.assign(has_letter=has) if tell_letters else out
         own.forget()
 
     narrow = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], text_of(F.col(text_col)).alias("text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (narrow.schema.fields if keep_text else narrow.schema.fields[:-1])]
-    return narrow.mapInPandas(predict, ", ".join([*fields, "lang_pred string", "score double"]))
+    return narrow.mapInPandas(predict, ", ".join([*fields, "lang_pred string", "score double", *(["has_letter boolean"] if tell_letters else [])]))

@@ -24,10 +24,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that have no language (null texts, texts without a letter). Learned as op8 is: the
-    rows with crc32(doc_id as text) mod 4 = 2 take no part. Rows that share an id stand or fall by themselves."""
+    rows with crc32(doc_id as text) mod 4 = 2 take no part. If nothing can be learned (no row that takes part has
+    a language), every text with a letter stays all the same. Rows that share an id stand or fall by themselves."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = hd_language(docs, remainder(F.col("doc_id"), 4) != 2, keep=others, keep_text=True)
-    return found.where("lang_pred <> 'und'").select(*docs.columns)
+    found = hd_language(docs, remainder(F.col("doc_id"), 4) != 2, keep=others, keep_text=True, tell_letters=True)
+    return found.where("has_letter").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
