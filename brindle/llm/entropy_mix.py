@@ -108,10 +108,12 @@ def entropy_mix(
     tolerance: float = 1e-7,
     rounds: int = 60,
     rows_per_salt: int = 4096,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of each document in a mix with target shares by source.
 
-    Returns doc_id, source, size, source_size, target, rate, copies, taken; one row per row of ``docs``.
+    Returns doc_id, source, size, source_size, target, rate, copies, taken; one row per row of ``docs``. The
+    columns in ``keep`` come along in a struct ``kept``, which also tells rows of equal id and size apart.
     Sizes are words. Rates are exponentially tilted by document size as far as a source must shrink or
     grow (see tilts); rounding keeps each source's token sum within about half of its smallest document
     of the target. No document gets more than ``cap`` copies. Reruns agree: extra copies go by a hash of
@@ -127,7 +129,8 @@ def entropy_mix(
     """
     ship(docs.sparkSession)
     key = F.when(F.col(source_col).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))  # 't' is after every 's...'
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), words_in(F.col(text_col)).alias("size")))
+    carried = [F.struct(*keep).alias("kept")] if keep else []
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), words_in(F.col(text_col)).alias("size"), *carried))
     salts = rows.count() // rows_per_salt + 1
     histogram = cut(rows.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("total"))
@@ -135,7 +138,9 @@ def entropy_mix(
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("at_cap"), F.lit(float(cap))).otherwise(F.least(F.exp(F.col("lam") * F.col("size") / F.col("mean_size")), F.lit(float(cap))))
     cells = histogram.join(state, "key").withColumn("rate", F.coalesce(rate, F.lit(0.0))).select("key", "size", "n", "rate", "total", "target")
     cells = cells.groupBy("key").applyInPandas(lambda k, pdf: _copies(k, pdf, cap), "key string, size long, base long, extra long, total long, target double, rate double")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(salts)))
+    content = F.xxhash64(F.lit(19), *[F.col("kept")[c] for c in keep if "map<" not in docs.select(c).dtypes[0][1]])
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(11), content)).otherwise(F.xxhash64(F.lit(11), "doc_id")) if keep else F.xxhash64(F.lit(11), "doc_id")
+    salted = rows.withColumn("salt", F.pmod(own, F.lit(salts)))
     parts = salted.groupBy("key", "size", "salt").agg(F.count(F.lit(1)).alias("m"))
     cell = Window.partitionBy("key", "size")
     upto = F.sum("m").over(cell.orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -143,6 +148,6 @@ def entropy_mix(
     parts = parts.withColumn("upto", upto).withColumn("whole", F.sum("m").over(cell)).join(cells, ["key", "size"])
     parts = parts.withColumn("more", share("upto") - share("(upto - m)")).select("key", "size", "salt", "base", "more", "total", "target", "rate")
     at = ["key", "size", "salt"]
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id")))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy(*at).orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id", *([content] if keep else []))))
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("base") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0)).cast("long")
-    return ranked.join(parts, at).select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return ranked.join(parts, at).select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["kept"] if keep else []))

@@ -45,11 +45,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources come near their target shares of words. Each copy is a
-    row; ids that repeat already get the copies of all their rows on each of them, halved as evenly as they go."""
-    copies = entropy_mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
-    each = copies.select(F.col("doc_id").alias("mix_id"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("times"))
-    found = docs.join(each, F.col("doc_id").eqNullSafe(F.col("mix_id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return found.select(*docs.columns)
+    row; every row is repeated by its own copies, also where ids are null or repeat."""
+    found = entropy_mix(docs, keep=tuple(docs.columns)).where("copies > 0")
+    return found.select("kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("kept.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
