@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import ship, text_of
+from brindle.llm.shared import cut, ship, text_of
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features beside whole words.
@@ -39,16 +39,12 @@ def places(text: np.ndarray, names: np.ndarray) -> np.ndarray:
     return at[names[np.minimum(at, len(names) - 1)] == text] if len(names) else at[:0]
 
 
-def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int, ratio: float) -> np.ndarray:
-    """Features, sorted, that ``least`` positives or more have, and positives ``ratio`` times as often as unlabelled texts."""
-    if not positive:
-        return np.zeros(0, dtype=np.uint32)
-    found, p = np.unique(np.concatenate(positive), return_counts=True)
-    found, p = found[p >= least], p[p >= least]
+def choose(found: np.ndarray, p: np.ndarray, positives: int, unlabelled: list[np.ndarray], ratio: float) -> np.ndarray:
+    """Of the sorted features, which ``p`` of the positives have, those that are ``ratio`` times as often there as in unlabelled texts."""
     u = np.zeros(len(found), dtype=np.int64)
     for text in unlabelled:
         u[places(text, found)] += 1
-    return found[p * max(1, len(unlabelled)) >= ratio * (u + 1) * len(positive)]
+    return found[p * max(1, len(unlabelled)) >= ratio * (u + 1) * positives]
 
 
 class Rows:
@@ -107,12 +103,47 @@ def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype=np.uint32) for x in chosen.sort_values(["doc_id", "found"])["found"]]
 
 
+def _support(docs: DataFrame, ids: DataFrame, least: int, ratio: float, unlabelled: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted features, the number of all documents with the ids that have each, and the number of these documents.
+
+    Partitions count for themselves and send their counts by feature, not texts. Features below ``least``, or
+    so rare that no count among the unlabelled texts could let them pass ``ratio``, stay away from the driver:
+    those that reach it are bounded by the features of a text and the number of unlabelled texts.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, sums, run, rows = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
+
+        def add() -> None:
+            nonlocal names, sums, run
+            both = np.concatenate([names, *run])
+            names, at = np.unique(both, return_inverse=True)
+            sums, run = np.bincount(at, weights=np.concatenate([sums, np.ones(len(both) - len(sums))]), minlength=len(names)).astype(np.int64), []
+
+        for batch in batches:
+            for text in batch["text"]:
+                run.append(features(text).astype(np.int64))
+                rows += 1
+                if len(run) == 256:
+                    add()
+        add()
+        yield pd.DataFrame({"feature": np.append(names, -1), "n": np.append(sums, rows)})  # -1: the documents
+
+    found = docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text").mapInPandas(count, "feature long, n long")
+    sums = cut(found.groupBy("feature").agg(F.sum("n").alias("n")))
+    rows = sums.where("feature = -1").first()
+    rows = rows["n"] if rows else 0
+    kept = sums.where((F.col("feature") >= 0) & (F.col("n") >= least) & (F.col("n") * max(1, unlabelled) >= ratio * rows)).toPandas().sort_values("feature")
+    return kept["feature"].to_numpy().astype(np.uint32), kept["n"].to_numpy().astype(np.int64), rows
+
+
 def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, least: int, ratio: float) -> tuple[dict[int, float], float]:
     """Weights by feature, and the bias. docs: doc_id, text; labels: doc_id, toxic (1 or 0), not null.
 
     The class prior is the share of toxic rows among all labelled ones. The classifier is fitted on at most
     ``max_positive`` confirmed toxic documents and, as unlabelled texts, at most ``max_unlabelled`` documents
     of the labelled pool whose labels are not read: toxic ones are among them, in the share of the prior.
+    Features are chosen by all confirmed toxic documents: ``least`` of them must have one, at any size.
     """
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = one.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
@@ -121,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
     prior = min(0.95, max(0.005, counts["k"] / counts["n"]))
     positive = _sample(docs, one.where("toxic = 1"), max_positive)
     unlabelled = _sample(docs, one, max_unlabelled)
-    names = choose(positive, unlabelled, max(least, len(positive) // 100), ratio)
+    names = choose(*_support(docs, one.where("toxic = 1"), least, ratio, len(unlabelled)), unlabelled, ratio)
     if not len(names):
         return {}, -10.0
     weights, bias = fit_nnpu(Rows(positive, names), Rows(unlabelled, names), prior)
