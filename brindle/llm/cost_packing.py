@@ -7,7 +7,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pandas as pd
@@ -26,12 +26,19 @@ MARK = "\ue000"
 TAIL = "%*&$#!?.,;:|)]}"
 
 
+@lru_cache(maxsize=10_000)
+def ends_a_word(c: str) -> bool:
+    """Whether a letter or digit stays a single one when it is composed and lowered. The dotted capital I doesn't: the
+    mark that it leaves behind goes with the punctuation after it."""
+    return c.isalnum() and (c.isascii() or (category(c)[0] in "LN" and len(c.lower()) == 1 and is_normalized("NFC", c + c.lower()) and category(c.lower())[0] in "LN"))
+
+
 class WordEncoder:
     """Token ids of texts, by the ids of their space-separated parts.
 
     Exact for a byte-level tokenizer with word ends that never looks across a space: its pattern's tokens hold
-    no white space, and its normaliser composes and lowers within parts. A part's end of punctuation is a token of its own,
-    and the rest (in lower case, if ASCII), its core, is encoded once for all parts that share it. Ids of cores
+    no white space, and its normaliser composes and lowers within parts. A part's end of punctuation is a token of its own
+    after what ends_a_word, and the rest (in lower case, if ASCII), its core, is encoded once for all parts that share it. Ids of cores
     lie one after the other in a flat array, so a text's ids are gathered from it by array operations. All is
     forgotten when there are ``most`` parts. Texts with the mark of a special token, or with MARK, go to the
     tokenizer whole.
@@ -57,8 +64,9 @@ class WordEncoder:
         """Encode cores that are joined to one text; find_ends gives the ends of their ids, ``skip`` ids lie between."""
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int64)
         ends = find_ends(ids)
-        if len(ends) != len(cores):
-            raise AssertionError("parts and ids don't match")
+        if len(ends) != len(cores):  # a letter that only one of the two alphabets knows: each core on its own
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(cores, add_special_tokens=False)]
+            ids, ends, skip = np.array(list(chain.from_iterable(each)), dtype=np.int64), np.cumsum([len(x) for x in each]), 0
         starts = np.concatenate(([0], ends[:-1] + skip)) if len(ends) else ends
         self.cores.update(zip(cores, range(len(self.start), len(self.start) + len(cores))))
         self.start.frombytes((starts + len(self.flat)).astype(np.int64).tobytes())
@@ -73,7 +81,7 @@ class WordEncoder:
         cores, tails = [], []
         for part in new:
             core = part.rstrip(TAIL)
-            if core and core[-1].isalnum():
+            if core and ends_a_word(core[-1]):
                 tails.append(part[len(core) :])
             else:
                 core = part
