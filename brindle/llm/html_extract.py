@@ -6,114 +6,109 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.html_layouts import LAYOUTS
 from brindle.llm.shared import ship, text_of
 
 # HTML's element names by their role here.
 #: Elements whose content is never text of the page. Not head: its end tag is optional, and text in it ends it.
 SKIPPED = frozenset("script style noscript template iframe svg math canvas object audio video title textarea select option datalist".split())
-#: Elements that mark what stands beside the main text.
-ASIDE = frozenset("nav aside footer form menu dialog button".split())
-#: Elements that mark the main text.
-MAIN = frozenset("article main".split())
+#: Elements that stand beside the main text, by their meaning in HTML; header does where it heads no part of the page.
+ASIDE = frozenset("nav aside footer menu dialog button".split())
 #: Elements inside a line of text; every other one ends a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Start tags that close an open element of the same kind, and what that search doesn't leave.
-CLOSES = {"p": "p", "li": "li", "option": "option", "tr": "tr", "td": "td", "th": "th", "dt": "dt", "dd": "dd"}
-#: Words in class or id that mark what stands beside the main text, and words that names of main text have as well.
-FIRM = frozenset(
-    "ad ads advert adverts advertisement sponsor sponsored promo cookie cookies consent popup modal newsletter subscribe signup login sidebar widget nav navbar "
-    "breadcrumb breadcrumbs pagination pager footer comment comments replies disqus".split()
-)
-SOFT = frozenset("banner promotion notice notices alert search side rail related recommended share sharing social navigation menu toc header masthead discussion reply respond complementary contentinfo dialog form".split())
-#: Words beside them that say nothing of the content, and words that turn a name into one of a wrapper's layout.
-PLAIN = frozenset("site page main global top bottom left right primary secondary container wrapper wrap box block bar list item inner outer area section content body slot unit text post entry article blog js id mobile desktop sticky fixed panel group".split())
-LAYOUT = frozenset("with without no non not has have".split())
-#: Soft words for parts of the main text, where they stand in it; firm words whose articles are no main text.
-PARTS = frozenset("header masthead discussion form".split())
-THREADS = frozenset("comment comments replies disqus".split())
-#: Values of role that mark what stands beside the main text.
-ROLES = frozenset("navigation complementary contentinfo search dialog form menu alert".split())
-
+#: Elements whose start tag closes an open one of the same name.
+CLOSES = frozenset("p li option tr td th dt dd".split())
+#: A block's element: other ones, parts of lists and tables, paragraphs, headings.
+OTHER, LISTED, PARAGRAPH, HEADING = range(4)
+ELEMENT = dict.fromkeys("li dt dd td th caption".split(), LISTED) | dict.fromkeys("p blockquote pre figcaption".split(), PARAGRAPH) | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), HEADING)
+#: What a block is a part of: nothing, a section, main, an article.
+NOTHING, SECTION, MAIN, ARTICLE = range(4)
+
+#: Attributes by HTML's rules: a quote opens a quoted value only right after the equals sign.
+ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z/!][^<>]*\Z",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b{ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>{ATTRS})>|<[!?/][^>]*>|<[a-zA-Z/!][^<>]*\Z",
     re.S | re.I,
 )
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORDS = re.compile(r"[a-z]+")
+HREF = re.compile(r"(?:^|[\s/\"'])href\s*=", re.I)
 SPACE = re.compile(r"\s+")
 
-#: What a block stands in: beside the main text, where a name hints at that, unknown, in the main text.
-BESIDE, HINTED, UNKNOWN, INSIDE = -2, -1, 0, 1
-#: While a page is read: below a firm name, below one for comments, in an article below any other name.
-MARKED, THREAD, NESTED = -3, -4, 2
-
-
-def _hint(name: str, inside: bool) -> int:
-    """The zone that one name of a class or id hints at; INSIDE for no hint."""
-    words = set(WORDS.findall(name))
-    hints = words & (FIRM | SOFT)
-    if not hints or words & LAYOUT:
-        return INSIDE
-    known = words - hints <= PLAIN
-    if hints & FIRM:
-        return HINTED if not known else THREAD if hints & THREADS else MARKED
-    return INSIDE if inside and (not known or hints <= PARTS) else HINTED
-
-
-def _zone(name: str, attrs: str, zone: int) -> int:
-    inside = zone in (INSIDE, NESTED)
-    if zone == BESIDE:
-        return BESIDE
-    if name in ASIDE or (name == "header" and not inside):
-        return BESIDE
-    if name == "article" and zone in (HINTED, MARKED, NESTED):
-        return NESTED
-    if name in MAIN:
-        return THREAD if zone == THREAD and name == "article" else INSIDE
-    if attrs and name not in ("body", "html") and not re.fullmatch("h[1-6]", name):
-        for m in ATTR.finditer(attrs):
-            for word in (m[2] or m[3] or m[4] or "").lower().split():
-                if m[1].lower() != "role":
-                    zone = min(zone, _hint(word, inside))
-                elif word in ROLES or (word == "banner" and not inside):
-                    return BESIDE
-    return zone
-
-
-def blocks(html: str) -> list[tuple[str, int, int, int]]:
-    """The page as flat blocks in order: (text, words, words in links, zone; MARKED where only a firm name marks it). Only blocks with text are listed."""
-    found: list[tuple[str, int, int, int]] = []
-    stack: list[tuple[str, int]] = []  # open elements with the zone around their content
+
+class Block(NamedTuple):
+    """A run of text between tags that end a line: ``links`` of its words are in links; ``part`` numbers the article, main or
+    section that it is in (see NOTHING ... ARTICLE for ``kind``); ``beside`` and ``form``: whether such an element is around it."""
+
+    text: str
+    words: int
+    links: int
+    element: int
+    kind: int
+    part: int
+    beside: bool
+    form: bool
+
+
+class Place(NamedTuple):
+    """What is open around a piece of text."""
+
+    kind: int = NOTHING
+    part: int = 0
+    beside: bool = False
+    form: bool = False
+    element: int = OTHER
+
+    def inside(self, name: str, number: int) -> Place:
+        """The place inside a start tag: the innermost article counts, else the outermost main, else the outermost section."""
+        kind, part = self.kind, self.part
+        if name == "article" or (name == "main" and kind < MAIN) or (name == "section" and kind == NOTHING):
+            kind, part = {"article": ARTICLE, "main": MAIN, "section": SECTION}[name], number
+        element = self.element if name in INLINE else ELEMENT.get(name, OTHER if name != "br" else self.element)
+        return Place(kind, part, self.beside or name in ASIDE or (name == "header" and self.kind == NOTHING), self.form or name == "form", element)
+
+
+def blocks(html: str) -> list[Block]:
+    """The page as flat blocks in order. Only blocks with text are listed."""
+    found: list[Block] = []
+    stack: list[tuple[str, Place, bool]] = []  # open elements, the place around them, whether they are links
     pieces: list[str] = []
     linked: list[str] = []
-    zone, links, skipping, at = UNKNOWN, 0, 0, 0
+    place, links, skipping, at, number = Place(), 0, 0, 0, 0
 
     def close() -> None:
         nonlocal pieces, linked
         if pieces:
             text = SPACE.sub(" ", unescape("".join(pieces))).strip()
             if text:
-                found.append((text, text.count(" ") + 1, len("".join(linked).split()), zone))
+                found.append(Block(text, text.count(" ") + 1, len(unescape("".join(linked)).split()), place.element, place.kind, place.part, place.beside, place.form))
             pieces, linked = [], []
 
     def leave(k: int) -> None:
         """Pop open elements down to number k."""
-        nonlocal zone, links, skipping
-        for name, before in reversed(stack[k:]):
-            zone = before
-            links -= name == "a"
+        nonlocal place, links, skipping
+        for name, before, link in reversed(stack[k:]):
+            place = before
+            links -= link
             skipping -= name in SKIPPED
         del stack[k:]
 
+    def leave_open(name: str, through: frozenset) -> None:
+        """End an open element of the name, if only elements of ``through`` are inside it."""
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                return leave(k)
+            if stack[k][0] not in through:
+                return None
+
     def add(text: str) -> None:
         if text and not skipping:
             pieces.append(text)
@@ -136,175 +131,61 @@ def blocks(html: str) -> list[tuple[str, int, int, int]]:
                     break
             continue
         if name in CLOSES:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    leave(k)
-                    break
-                if stack[k][0] not in INLINE and stack[k][0] not in CLOSES:
-                    break
-        if name in VOID or m["attrs"].endswith("/"):
+            leave_open(name, INLINE | CLOSES)
+        elif name == "a":
+            leave_open("a", INLINE)
+        elif name not in INLINE and name not in VOID:
+            leave_open("p", INLINE)
+        if name in VOID:
             continue
-        stack.append((name, zone))
-        zone = _zone(name, m["attrs"], zone)
-        links += name == "a"
+        number += 1
+        link = name == "a" and HREF.search(m["attrs"]) is not None
+        stack.append((name, place, link))
+        place = place.inside(name, number)
+        links += link
         skipping += name in SKIPPED
     add(html[at:])
     close()
-    nested = HINTED if any(b[3] == INSIDE for b in found) else INSIDE  # the only articles are the main text, whatever is around them
-    final = {NESTED: nested, THREAD: BESIDE}
-    return [(*b[:3], final.get(b[3], b[3])) for b in found]
+    return found
 
 
-def features(page: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Rows: words and link density of the block before, of the block and of the block after, and the zone. Beyond the ends: zeros."""
-    words = np.array([0, *[b[1] for b in page], 0], dtype=float)
-    links = np.array([0, *[b[2] for b in page], 0], dtype=float)
+def features(page: list[Block]) -> np.ndarray:
+    """A row for each block: words and link density of the block before, of the block and of the block after (zeros beyond
+    the ends); the most plain words in one of the three blocks before and after; its element; what it is part of, the words of that
+    part as a share of the largest part's, whether the part has a heading if any article has; whether it stands beside,
+    or in a form; whether the page has a main or an article."""
+    n = len(page)
+    words = np.array([0, *[b.words for b in page], 0], dtype=float)
+    links = np.array([0, *[b.links for b in page], 0], dtype=float)
     density = np.minimum(1, links / np.maximum(words, 1))
-    zone = np.array([BESIDE if b[3] == MARKED else b[3] for b in page], dtype=float)
-    return np.column_stack([x for k in (0, 1, 2) for x in (words[k : k + len(page)], density[k : k + len(page)])] + [zone])
-
-
-# The labelled table. A row is a block of a page, labelled by hand: words and link density of the
-# block before, of the block, of the block after; zone; 1 for main text.
-LABELLED = """
-0 0 1 1 1 1 -2 0
-1 1 1 1 1 1 -2 0
-1 1 1 1 9 0 -2 0
-1 1 9 0 8 0 -2 0
-9 0 30 0 40 0 -2 0
-40 0 60 0 25 0 -2 0
-60 0 25 0 0 0 -2 0
-80 0 9 0 0 0 -2 0
-120 0 45 .1 30 0 -2 0
-30 0 150 0 80 0 -2 0
-60 0 12 0 0 0 -2 0
-80 0 9 0 95 0 -2 0
-60 0 12 0 110 0 -2 0
-50 .1 5 0 75 0 -2 0
-1 1 9 0 90 0 -2 0
-5 0 12 0 120 0 -2 0
-2 .9 3 1 80 0 -2 0
-30 0 11 0 200 0 -2 0
-7 0 6 0 75 0 -2 0
-90 0 8 0 5 .8 -2 0
-45 0 5 0 0 0 -2 0
-200 0 10 0 30 0 -2 0
-75 .1 13 0 2 1 -2 0
-50 0 2 0 6 0 -2 0
-110 0 70 0 12 0 -2 0
-2 .5 12 .2 90 0 -2 0
-5 0 3 0 4 0 -2 0
-0 0 80 0 60 0 -1 1
-1 0 60 0 45 0 -1 1
-60 0 45 0 2 1 -1 1
-80 0 30 .05 40 0 -1 1
-3 0 35 0 3 0 -1 1
-4 1 50 .1 70 0 -1 1
-45 0 120 .15 0 0 -1 1
-2 0 26 0 24 0 -1 1
-90 0 26 .05 4 1 -1 1
-0 0 200 0 0 0 -1 1
-26 0 24 0 30 0 -1 1
-70 0 14 0 60 0 -1 1
-40 0 9 0 55 0 -1 1
-60 0 1 0 70 0 -1 1
-50 0 2 0 26 0 -1 1
-4 0 2 0 60 0 -1 1
-0 0 3 0 40 0 -1 1
-2 1 1 0 30 0 -1 1
-0 0 1 1 1 1 -1 0
-1 1 2 1 60 0 -1 0
-60 0 3 1 4 1 -1 0
-5 1 6 1 5 1 -1 0
-3 0 30 .8 5 1 -1 0
-40 0 45 .7 9 1 -1 0
-70 0 60 .9 0 0 -1 0
-50 0 12 1 60 0 -1 0
-2 0 6 .5 3 0 -1 0
-1 0 9 0 1 1 -1 0
-4 0 4 0 5 1 -1 0
-90 0 4 0 2 1 -1 0
-60 0 5 0 0 0 -1 0
-4 1 11 0 3 0 -1 0
-3 0 2 0 4 0 -1 0
-80 0 14 0 1 1 -1 0
-2 0 12 0 2 0 -1 0
-0 0 8 0 3 1 -1 0
-9 0 8 0 40 0 1 1
-0 0 6 0 55 0 1 1
-8 0 1 0 70 0 1 1
-70 0 1 0 2 0 1 1
-1 0 2 0 1 0 1 1
-90 0 3 0 110 0 1 1
-60 0 120 0 45 0 1 1
-120 0 45 .1 9 0 1 1
-45 0 300 .02 6 0 1 1
-300 0 12 0 15 .2 1 1
-50 0 40 .3 60 0 1 1
-10 0 14 .45 80 0 1 1
-40 0 1 0 8 0 1 1
-3 0 4 0 5 0 1 1
-4 0 5 0 3 0 1 1
-5 0 2 0 90 0 1 1
-4 0 90 0 4 0 1 1
-3 0 40 .1 5 0 1 1
-5 .2 6 0 4 0 1 1
-4 1 7 0 60 0 1 1
-3 1 60 0 5 0 1 1
-5 0 1 0 0 0 1 1
-3 0 12 .3 2 0 1 1
-4 .5 3 0 0 0 1 1
-1 0 4 0 1 0 1 1
-2 0 3 0 3 0 1 1
-5 1 5 0 5 1 1 1
-3 0 5 .2 9 1 1 1
-20 0 5 1 6 1 1 0
-5 1 6 1 4 1 1 0
-6 1 4 1 0 0 1 0
-70 0 3 1 5 1 1 0
-1 1 2 1 90 0 1 0
-80 0 9 .9 70 0 1 0
-0 0 2 1 2 1 0 0
-2 1 2 1 2 1 0 0
-2 1 3 .8 60 0 0 0
-3 0 4 0 2 .6 0 0
-0 0 5 0 3 1 0 0
-4 1 7 0 2 1 0 0
-2 .9 12 .7 3 1 0 0
-60 0 6 .5 4 1 0 0
-4 1 8 0 0 0 0 0
-3 1 9 .1 0 0 0 0
-5 .8 4 0 5 .9 0 0
-8 0 20 .8 9 1 0 0
-60 0 2 1 0 0 0 0
-42 0 2 1 0 0 0 0
-90 .1 4 1 2 1 0 0
-45 0 3 1 3 1 0 0
-55 0 9 1 70 0 0 0
-0 0 40 .9 3 1 0 0
-3 1 2 0 3 1 0 0
-4 0 3 0 4 0 0 0
-1 0 5 0 3 0 0 0
-5 0 7 0 2 1 0 0
-3 0 2 0 0 0 0 0
-8 0 60 0 70 0 0 1
-3 0 50 0 4 0 0 1
-4 1 70 .05 3 0 0 1
-70 0 55 .05 40 0 0 1
-55 0 30 0 25 .1 0 1
-40 0 110 .2 3 1 0 1
-2 1 45 0 50 0 0 1
-90 0 8 0 75 0 0 1
-60 0 5 0 90 0 0 1
-30 0 16 0 40 0 0 1
-0 0 80 0 0 0 0 1
-2 1 35 .1 2 1 0 1
-120 0 18 .1 60 0 0 1
-6 0 25 0 30 0 0 1
-"""
-
-
-def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 7) -> dict:
+    plain = np.maximum(words - links, 0)
+    padded = np.concatenate((np.zeros(2), plain, np.zeros(2)))
+    before, after = (np.max([padded[k + i : k + i + n] for i in range(3)], axis=0) for k in (0, 4))
+    sums: dict[int, float] = {}
+    headed: set[int] = set()
+    for b, x in zip(page, plain[1:-1]):
+        if b.kind and not b.beside:
+            sums[b.part] = sums.get(b.part, 0) + x
+            if b.element == HEADING:
+                headed.add(b.part)
+    most = max(sums.values(), default=0) or 1
+    has_main = any(b.kind >= MAIN and not b.beside for b in page)
+    missed = any(b.kind == ARTICLE and b.part in headed for b in page)
+    rest = [(b.element, b.kind, sums.get(b.part, 0) / most if b.kind else 0, b.kind and (b.part in headed or not missed), b.beside, b.form, has_main) for b in page]
+    return np.column_stack([x for k in (0, 1, 2) for x in (words[k : k + n], density[k : k + n])] + [before, after, np.array(rest, dtype=float).reshape(n, 7)])
+
+
+def labelled(scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of LAYOUTS, with counts of three words or more scaled."""
+    x, y = [], []
+    for line in LAYOUTS.strip().split("\n"):
+        page = blocks(re.sub(r"\{(\d+)\}", lambda m: " ".join(["w"] * (int(m[1]) if int(m[1]) < 3 else max(2, round(int(m[1]) * scale)))), line))
+        x.append(features(page))
+        y += [b.text.startswith("+") for b in page]
+    return np.concatenate(x), np.array(y, dtype=float)
+
+
+def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 10) -> dict:
     """A binary decision tree by Gini impurity; ties go to the earlier feature and the lower threshold."""
     share = y.mean()
     if depth == 0 or len(y) < 2 * least or share in (0, 1):
@@ -328,10 +209,9 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 2, depth: int = 7) -> dict:
 
 @lru_cache(maxsize=1)
 def tree() -> dict:
-    """Split by zone first: hinted blocks have a tree of their own, so their rows don't move the bounds of the others."""
-    rows = np.array([[float(v) for v in line.split()] for line in LABELLED.split("\n") if line])
-    hinted, others = (grow(r[:, :-1], r[:, -1]) for r in (rows[rows[:, 6] == HINTED], rows[rows[:, 6] != HINTED]))
-    return {"f": 6, "t": HINTED - 0.5, "low": others, "high": {"f": 6, "t": HINTED + 0.5, "low": hinted, "high": others}}
+    """Grown once from the labelled layouts, at their sizes and at smaller and larger ones."""
+    parts = [labelled(s) for s in (0.6, 1.0, 1.7)]
+    return grow(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]))
 
 
 def classify(node: dict, x: np.ndarray) -> np.ndarray:
@@ -353,25 +233,21 @@ def extract(html: str) -> str:
     if not page:
         return ""
     keep = classify(tree(), features(page))
-    if not keep.any() and any(b[3] == MARKED for b in page):  # nothing else is there: what the names say is weighed
-        page = [(*b[:3], HINTED if b[3] == MARKED else b[3]) for b in page]
-        keep = classify(tree(), features(page))
-    return "\n".join(b[0] for b, k in zip(page, keep) if k)
+    return "\n".join(b.text for b, k in zip(page, keep) if k)
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Main text of every page: page_id, url, text, n_chars; one row per row of ``pages``.
 
-    A block is the text between two tags that end a line of text; its features are words and link density of
-    itself and its neighbours, and the zone that its open elements (or words in their class, id, role) mark.
-    A name with a word like ``sidebar`` marks its element unless main or article is inside, or nothing else is
-    on the page; ``with-sidebar`` marks nothing; words that names of main text have as well (``discussion``)
-    are left to the tree. A decision tree, grown from the labelled table above, decides. White space inside a block becomes one
-    space, character references are decoded; nothing else of a main block is dropped. No shuffle.
+    A block is the text between two tags that end a line of text. Its features are its number of words and link
+    density, those of its neighbours, and the elements that it stands in (see features); names of classes, ids and
+    roles are not read. A decision tree decides, grown from a table of labelled layouts (html_layouts). White space inside a
+    block becomes one space, character references are decoded; nothing else of a main block is dropped. No shuffle.
 
     Defined cases: null and empty pages have an empty text; cut-off tags and unclosed elements end with the
-    page; nulls in id or url stay null; repeated rows repeat; an empty table gives no rows; other columns are
-    ignored.
+    page; very long pages are read whole, in time that grows with their length; where thresholds of the tree are met, a
+    value goes to the upper side, and an even leaf counts as main text; nulls in id or url stay null; repeated rows
+    repeat; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
     ship(pages.sparkSession)
 
