@@ -60,7 +60,7 @@ def test_exact_dedup(docs, nothing):
         assert r["kept"] == (r["doc_id"] == r["keep_id"])
     assert len({r["text_sha256"] for r in found}) == len(set(texts))
     assert exact_dedup(nothing).count() == 0
-    assert exact_dedup(docs, normalise=F.lower, heavy=1, counters=16).count() == len(ROWS)
+    assert exact_dedup(docs, normalise=F.lower, counters=16).count() == len(ROWS)
 
 
 def brute_lines(rows):
