@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shared import cut, ship
 
-#: Scores are 64-bit; quantised components beyond this magnitude could overflow them.
-LARGEST = 2**24
+#: Quantised components up to this magnitude stay in 64-bit numbers, with scores of up to 2**14 components; others are Python's.
+NARROW = 2**24
+#: Scores are 64-bit: beyond it they are shown as these.
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -25,12 +27,13 @@ def pack(bits: np.ndarray) -> np.ndarray:
 class Slices:
     """A bit-sliced index: for each attribute (vector component), a bitmap over the rows for each of its bits.
 
-    Components are kept with an offset that makes them at least 0, so all slices count positive.
+    Components are kept with an offset that makes them at least 0, so all slices count positive. ``rows`` tells
+    apart rows of one id.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.x = ids[order], rows[order], x[order]
         self.low = self.x.min(axis=0)
         shifted = self.x - self.low
         depth = max(1, int(shifted.max()).bit_length()) if shifted.size else 1
@@ -79,19 +82,18 @@ class Slices:
             w += 1
         return out
 
-    def top(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k rows with the highest inner product, ties to the smaller id; without the row ``own``.
+    def top(self, q: np.ndarray, k: int, own: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k rows with the highest inner product, ties to the smaller id; without the row ``row`` of id ``own``.
 
         From the most significant slice downward: rows that are surely among the first k, and rows that are
         equal so far. Those still equal at the end are the boundary: the smallest ids of them fill up.
         """
         slices = self.scores(q)
         sure, equal = self.zero.copy(), self.valid.copy()
-        if own is not None:
-            at = np.searchsorted(self.ids, own)
-            while at < len(self.ids) and self.ids[at] == own:
-                equal[at >> 6] &= ~np.uint64(1 << (int(at) & 63))
-                at += 1
+        first, stop = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        at = first + np.searchsorted(self.rows[first:stop], row)
+        if at < stop and self.rows[at] == row:
+            equal[at >> 6] &= ~np.uint64(1 << (int(at) & 63))
         for bits in reversed(slices):
             higher = equal & bits
             n = int(np.bitwise_count(sure | higher).sum())
@@ -113,10 +115,30 @@ class Slices:
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id, dims, x: floor(scale * component) of the vectors without nulls and non-finite components."""
+    """vec_id, dims, x of the vectors without nulls and non-finite components: x holds floor(scale * component), but is null where
+    one of them is beyond NARROW; ``far`` holds the components of such vectors as they are."""
     v: Column = F.col(vector_col)
     ok = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.size(v).alias("dims"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("x"))
+    wide = F.exists(v, lambda x: F.abs(x.cast("double")) * scale > NARROW)
+    x = F.when(~wide, F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("int"))).alias("x")
+    return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.size(v).alias("dims"), x, F.when(wide, v.cast("array<double>")).alias("far"))
+
+
+def matrix(rows: pd.DataFrame, dims: int, scale: int) -> np.ndarray:
+    """Quantised vectors as a matrix of 64-bit numbers, or of Python's where they come as ``far``."""
+    if len(rows) and rows["x"].isna().iloc[0]:
+        return np.array([[math.floor(Fraction(v) * scale) for v in row] for row in rows["far"]], dtype=object).reshape(len(rows), dims)
+    return np.array(rows["x"].tolist(), dtype=np.int64).reshape(len(rows), dims)
+
+
+def shown(score: int) -> tuple[int, str]:
+    """A score as a 64-bit number, and a text that orders scores which that number can't tell apart (larger: later)."""
+    if LEAST < score < MOST:
+        return score, ""
+    digits = str(abs(score))
+    if score > 0:
+        return min(score, MOST), f"{len(digits):04d}{digits}"
+    return max(score, LEAST), f"{9999 - len(digits):04d}" + "".join(str(9 - int(d)) for d in digits)
 
 
 def bsi_topk(
@@ -124,50 +146,48 @@ def bsi_topk(
 ) -> DataFrame:
     """The k rows of highest integer inner product for every row where ``query`` (over vec_id) holds: query_id, rank, vec_id, score.
 
-    Rows are dealt by a hash of the id to blocks of about ``block_rows``, queries to blocks of about
-    ``block_queries``; every pair of blocks is a task that indexes its rows and answers its queries, and
-    sends on at most k rows a query, of which the best k remain. Rows travel once for each block of queries
-    and queries once for each block of rows; pairs of rows are never made. Whoever a query's own row is
-    (by id) is no candidate of it.
+    Rows are dealt by a hash of the id to blocks of about ``block_rows``, queries to blocks of at most about
+    ``block_queries``, smaller ones where there would be less work than cores; every pair of blocks is a task that indexes its rows
+    and answers its queries, and sends on at most k rows a query, of which the best k remain. Rows travel once for each
+    block of queries and queries once for each block of rows; pairs of rows are never made. A query's own row is no
+    candidate of it; another row of the same id is.
+
+    Vectors with a component beyond 2**24 after scaling have blocks of their own, whose slices are as deep as they
+    need: their scores are exact at any size.
 
     Defined cases: vectors that are null, or hold null, NaN or infinite components, take no part, nor do null
-    ids; only vectors of the same length are compared, and empty ones score 0; an id that repeats is a
-    candidate once for each of its rows, and one query for each distinct vector; fewer than k candidates
-    give fewer rows; an empty table gives no rows; other columns are ignored. Components above 2**24 after
-    scaling raise an error, as the score could overflow.
+    ids; only vectors of the same length are compared, and empty ones score 0; equal scores go to the smaller id; an id
+    that repeats is a candidate and a query once for each of its rows; scores beyond 64 bits are ranked by their
+    exact value and shown as the nearest 64-bit number; fewer than k candidates give fewer rows; an empty table gives
+    no rows; other columns are ignored.
     """
     ship(vectors.sparkSession)
-    # int32 is enough for LARGEST; the rows are read several times
-    rows = cut(quantised(vectors, id_col, vector_col, scale))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(query, 1)).alias("q"), F.max(F.array_max(F.transform("x", F.abs))).alias("top")).first()
-    if (stats["top"] or 0) > LARGEST:
-        raise ValueError(f"a component is beyond {LARGEST} after scaling")
-    n_rows, n_queries = max(1, math.ceil(stats["n"] / block_rows)), max(1, math.ceil(stats["q"] / block_queries))
-    small = rows.select("vec_id", "dims", F.transform("x", lambda v: v.cast("int")).alias("x"))
-    block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    index = small.select("*", block(19, n_rows).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
-    asked = small.where(query).distinct().select("*", block(23, n_queries).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).alias("rb"))
+    # Written once: the rows are read several times, and their numbers must stay.
+    rows = cut(quantised(vectors, id_col, vector_col, scale).select("*", F.monotonically_increasing_id().alias("row")))
+    stats = rows.agg(F.count("x").alias("n"), F.count("far").alias("n_wide"), F.count(F.when(query, 1)).alias("q")).first()
+    n_rows, n_wide = max(1, math.ceil(stats["n"] / block_rows)), math.ceil(stats["n_wide"] / 1024)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_queries = max(1, math.ceil(stats["q"] / block_queries), min(math.ceil(stats["q"] / 64), math.ceil(2 * cores / n_rows)))
+    block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "row"), F.lit(max(1, n))).cast("int")
+    dealt = F.when(F.col("far").isNull(), block(19, n_rows)).otherwise(n_rows + block(19, n_wide)).alias("rb")
+    index = rows.select("*", dealt, F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
+    asked = rows.where(query).select("*", block(23, n_queries).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_rows + n_wide - 1))).alias("rb"))
 
     def answer(key: tuple, candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         dims, found = key[0], []
         if len(candidates) and len(queries):
-            wide = lambda pdf: np.array(pdf["x"].tolist(), dtype=np.int64).reshape(len(pdf), dims)
-            slices = Slices(candidates["vec_id"].to_numpy(), wide(candidates))
-            for query_id, q in zip(queries["vec_id"].tolist(), wide(queries)):
-                ids, scores = slices.top(q, k, query_id)
-                found += [(query_id, hash_of(q), i, s) for i, s in zip(ids.tolist(), scores.tolist())]
-        return pd.DataFrame(found, columns=["query_id", "query_hash", "vec_id", "score"])
-
-    best = index.groupBy("dims", "rb", "qb").cogroup(asked.groupBy("dims", "rb", "qb")).applyInPandas(answer, "query_id long, query_hash long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")
+            slices = Slices(candidates["vec_id"].to_numpy(), candidates["row"].to_numpy(), matrix(candidates, dims, scale))
+            for part in (queries[queries["far"].isna()], queries[queries["far"].notna()]):
+                for query_id, row, q in zip(part["vec_id"].tolist(), part["row"].tolist(), matrix(part, dims, scale)):
+                    ids, scores = slices.top(q, k, query_id, row)
+                    found += [(query_id, row, i, *shown(int(s))) for i, s in zip(ids.tolist(), scores.tolist())]
+        return pd.DataFrame(found, columns=["query_id", "row", "vec_id", "score", "beyond"])
+
+    best = index.groupBy("dims", "rb", "qb").cogroup(asked.groupBy("dims", "rb", "qb")).applyInPandas(answer, "query_id long, row long, vec_id long, score long, beyond string")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def hash_of(q: np.ndarray) -> int:
-    """Tells apart different vectors that share an id."""
-    return zlib.crc32(q.tobytes())
-
-
 #: DuckDB SQL for bsi_topk over the table embeddings, for components of equal number.
 ORACLE_SQL = """
 WITH v AS (
