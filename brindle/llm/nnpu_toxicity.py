@@ -39,21 +39,12 @@ def places(text: np.ndarray, names: np.ndarray) -> np.ndarray:
     return at[names[np.minimum(at, len(names) - 1)] == text] if len(names) else at[:0]
 
 
-def choose(found: np.ndarray, p: np.ndarray, positives: int, unlabelled: list[np.ndarray], ratio: float) -> np.ndarray:
-    """Of the sorted features, which ``p`` of the positives have, those that are ``ratio`` times as often there as in unlabelled texts."""
-    u = np.zeros(len(found), dtype=np.int64)
-    for text in unlabelled:
-        u[places(text, found)] += 1
-    return found[p * max(1, len(unlabelled)) >= ratio * (u + 1) * positives]
-
-
 class Rows:
-    """A sparse matrix of zeros and ones: a row for each text, a column for each chosen feature."""
+    """A sparse matrix of zeros and ones: a row for each text, a column for each of ``width`` features; ``hits`` has the ones of each row."""
 
-    def __init__(self, texts: list[np.ndarray], names: np.ndarray):
-        hits = [places(t, names) for t in texts]
-        self.n, self.width = len(texts), len(names)
-        self.row = np.repeat(np.arange(len(texts)), [len(h) for h in hits])
+    def __init__(self, hits: list[np.ndarray], width: int):
+        self.n, self.width = len(hits), width
+        self.row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
         self.column = np.concatenate([*hits, np.zeros(0, dtype=np.int64)]).astype(np.int64)
 
     def sums(self, w: np.ndarray) -> np.ndarray:
@@ -63,99 +54,121 @@ class Rows:
         return np.bincount(self.column, weights=g[self.row], minlength=self.width)
 
 
-def fit_nnpu(xp: Rows, xu: Rows, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, gamma: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier by the non-negative risk estimator, with the sigmoid loss l(z) = 1 / (1 + exp(z)).
+def loss(z: np.ndarray) -> np.ndarray:
+    """The sigmoid loss."""
+    return 1 / (1 + np.exp(np.clip(z, -30, 30)))
 
-    Risk: prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]). While the second term (the risk on
-    negatives, corrected for the positives among the unlabelled texts) is below zero, the step goes along
-    -gamma times its gradient instead. Full batches and Adam, from zero: the result is a function of the input.
-    """
-    w, m, v = (np.zeros(xp.width + 1) for _ in range(3))
-    w[-1] = np.log(prior / (1 - prior)) / 4
-    loss = lambda z: 1 / (1 + np.exp(np.clip(z, -30, 30)))
 
-    def slope(x: Rows, f: np.ndarray, sign: float) -> np.ndarray:
+def risks(xp: Rows, xu: Rows, w: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risk on positives, prior * E_p[l(f)], and that on negatives, E_u[l(-f)] - prior * E_p[l(-f)], which is corrected
+    for the positives among the unlabelled texts. w: a weight for each feature, and the bias."""
+    fp, fu = xp.sums(w[:-1]) + w[-1], xu.sums(w[:-1]) + w[-1]
+    return prior * loss(fp).mean(), loss(-fu).mean() - prior * loss(-fp).mean()
+
+
+def direction(xp: Rows, xu: Rows, w: np.ndarray, prior: float, gamma: float) -> np.ndarray:
+    """What to step against: the gradient of both risks, or -gamma times that of the negatives' while it is below zero."""
+
+    def slope(x: Rows, sign: float) -> np.ndarray:
         """Gradient of the mean of l(sign * f)."""
+        f = x.sums(w[:-1]) + w[-1]
         s = loss(sign * f)
         g = -sign * s * (1 - s) / max(1, len(f))
         return np.append(x.back(g), g.sum())
 
+    part = slope(xu, -1) - prior * slope(xp, -1)
+    return prior * slope(xp, 1) + part if risks(xp, xu, w, prior)[1] >= 0 else -gamma * part
+
+
+def fit_nnpu(xp: Rows, xu: Rows, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear classifier by the non-negative risk estimator: risks, the second not below zero (see
+    direction). Full batches and Adam, from zero: the result is a function of the input."""
+    w, m, v = (np.zeros(xp.width + 1) for _ in range(3))
+    w[-1] = np.log(prior / (1 - prior)) / 4
     for t in range(1, steps + 1):
-        fp, fu = xp.sums(w[:-1]) + w[-1], xu.sums(w[:-1]) + w[-1]
-        negative = loss(-fu).mean() - prior * loss(-fp).mean()
-        part = slope(xu, fu, -1) - prior * slope(xp, fp, -1)
-        g = prior * slope(xp, fp, 1) + part if negative >= 0 else -gamma * part
+        g = direction(xp, xu, w, prior, gamma)
         g[:-1] += decay * w[:-1] / max(1, len(w))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def _sample(docs: DataFrame, ids: DataFrame, rows: int) -> list[np.ndarray]:
-    """Features of the documents with the ``rows`` of the ids that come first by a hash: 4 bytes a feature reach the driver, of never more documents."""
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "found": [features(t).tobytes() for t in batch["text"]]})
-
-    first = ids.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)  # at most `rows` ids: small enough to broadcast
-    chosen = docs.join(F.broadcast(first), "doc_id", "left_semi").mapInPandas(found, "doc_id long, found binary").toPandas()
-    return [np.frombuffer(x, dtype=np.uint32) for x in chosen.sort_values(["doc_id", "found"])["found"]]
-
+def _first(ids: DataFrame, rows: int) -> DataFrame:
+    """The ``rows`` ids that come first by a hash."""
+    return ids.select("doc_id").orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)
 
-def _support(docs: DataFrame, ids: DataFrame, least: int, ratio: float, unlabelled: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted features, the number of all documents with the ids that have each, and the number of these documents.
 
-    Partitions count for themselves and send their counts by feature, not texts. Features below ``least``, or
-    so rare that no count among the unlabelled texts could let them pass ``ratio``, stay away from the driver:
-    those that reach it are bounded by the features of a text and the number of unlabelled texts.
-    """
+def _counts(docs: DataFrame) -> DataFrame:
+    """feature, n: how many of the texts have each feature, and under -1 the number of texts. Partitions count for
+    themselves and send their counts by feature, not texts."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, sums, run, rows = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0
+        names, sums, run, held, rows = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), [], 0, 0
 
         def add() -> None:
-            nonlocal names, sums, run
+            nonlocal names, sums, run, held
             both = np.concatenate([names, *run])
             names, at = np.unique(both, return_inverse=True)
-            sums, run = np.bincount(at, weights=np.concatenate([sums, np.ones(len(both) - len(sums))]), minlength=len(names)).astype(np.int64), []
+            sums, run, held = np.bincount(at, weights=np.concatenate([sums, np.ones(len(both) - len(sums))]), minlength=len(names)).astype(np.int64), [], 0
 
         for batch in batches:
             for text in batch["text"]:
                 run.append(features(text).astype(np.int64))
+                held += len(run[-1])
                 rows += 1
-                if len(run) == 256:
+                if held >= 200_000:
                     add()
         add()
-        yield pd.DataFrame({"feature": np.append(names, -1), "n": np.append(sums, rows)})  # -1: the documents
+        yield pd.DataFrame({"feature": np.append(names, -1), "n": np.append(sums, rows)})
 
-    found = docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text").mapInPandas(count, "feature long, n long")
-    sums = cut(found.groupBy("feature").agg(F.sum("n").alias("n")))
-    rows = sums.where("feature = -1").first()
-    rows = rows["n"] if rows else 0
-    kept = sums.where((F.col("feature") >= 0) & (F.col("n") >= least) & (F.col("n") * max(1, unlabelled) >= ratio * rows)).toPandas().sort_values("feature")
-    return kept["feature"].to_numpy().astype(np.uint32), kept["n"].to_numpy().astype(np.int64), rows
+    return cut(docs.select("text").mapInPandas(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, least: int, ratio: float) -> tuple[dict[int, float], float]:
+def _rows_of(counts: DataFrame) -> int:
+    found = counts.where("feature = -1").first()
+    return found["n"] if found else 0
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int, least: int, ratio: float, broadcast_rows: int) -> tuple[dict[int, float], float]:
     """Weights by feature, and the bias. docs: doc_id, text; labels: doc_id, toxic (1 or 0), not null.
 
     The class prior is the share of toxic rows among all labelled ones. The classifier is fitted on at most
     ``max_positive`` confirmed toxic documents and, as unlabelled texts, at most ``max_unlabelled`` documents
     of the labelled pool whose labels are not read: toxic ones are among them, in the share of the prior.
-    Features are chosen by all confirmed toxic documents: ``least`` of them must have one, at any size.
+    Features are chosen by all confirmed toxic documents: ``least`` of them must have one, at any size, and ``ratio``
+    times as large a share of them as of the unlabelled texts.
+
+    Texts and their features stay in Spark. The driver gets the chosen features, and for each text of the sample those
+    of them that it has. A chosen feature is in more than ratio / (max_unlabelled + 1) of the toxic texts, so their
+    number is at most that of the features of an average toxic text times (max_unlabelled + 1) / ratio.
     """
     one = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = one.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).first()
     if not counts["n"] or not counts["k"]:
         return {}, -10.0
     prior = min(0.95, max(0.005, counts["k"] / counts["n"]))
-    positive = _sample(docs, one.where("toxic = 1"), max_positive)
-    unlabelled = _sample(docs, one, max_unlabelled)
-    names = choose(*_support(docs, one.where("toxic = 1"), least, ratio, len(unlabelled)), unlabelled, ratio)
+    toxic = one.where("toxic = 1").select("doc_id")
+    flags = lambda p, u: [F.lit(p).alias("p"), F.lit(u).alias("u")]
+    picked = _first(toxic, max_positive).select("doc_id", *flags(1, 0)).unionByName(_first(one, max_unlabelled).select("doc_id", *flags(0, 1)))
+    picked = F.broadcast(picked.groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))  # max_positive + max_unlabelled rows at most
+    sample = cut(docs.join(picked, "doc_id"))
+    ids = F.broadcast(toxic) if counts["k"] <= broadcast_rows else toxic
+    support, elsewhere = _counts(docs.join(ids, "doc_id", "left_semi")), _counts(sample.where("u = 1"))
+    positives, unlabelled = _rows_of(support), _rows_of(elsewhere)
+    common = F.col("n") * max(1, unlabelled) >= ratio * positives * (F.coalesce("other", F.lit(0)) + 1)
+    chosen = support.where(F.col("feature") >= 0).where(F.col("n") >= least).join(elsewhere.withColumnRenamed("n", "other"), "feature", "left").where(common)
+    names = np.sort(chosen.select("feature").toPandas()["feature"].to_numpy()).astype(np.uint32)
     if not len(names):
         return {}, -10.0
-    weights, bias = fit_nnpu(Rows(positive, names), Rows(unlabelled, names), prior)
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["doc_id", "p", "u"]].assign(at=[places(features(t), names).astype(np.int32).tobytes() for t in batch["text"]])
+
+    rows = sample.mapInPandas(held, "doc_id long, p int, u int, at binary").toPandas().sort_values(["doc_id", "at"])
+    listed = [np.frombuffer(x, dtype=np.int32) for x in rows["at"]]
+    part = lambda c: Rows([x for x, yes in zip(listed, rows[c]) if yes], len(names))
+    weights, bias = fit_nnpu(part("p"), part("u"), prior)
     return {f: w for f, w in zip(names.tolist(), weights.tolist()) if w}, bias
 
 
@@ -171,14 +184,17 @@ def nnpu_toxicity(
     max_unlabelled: int = 8000,
     least: int = 3,
     ratio: float = 3.0,
+    broadcast_rows: int = 2_000_000,
 ) -> DataFrame:
     """Toxicity of every whole text: doc_id, held_out, score, predicted; one row per row of ``docs``.
 
     held_out: crc32(doc_id as text) mod ``folds`` is ``held_fold``; such rows take no part in learning. The
     model (learn, fit_nnpu) sees texts only: presence of words and word beginnings that toxic texts have
-    ``ratio`` times as often. score is the sigmoid of the model's sum, predicted is score >= 0.5.
+    ``ratio`` times as often. score is the sigmoid of the model's sum, predicted is score >= 0.5. The ids of toxic
+    documents are broadcast while there are at most ``broadcast_rows``, else joined by a shuffle.
 
-    Defined cases: null and empty texts have no features and get the score of the bias; labels that are null
+    Defined cases: null and empty texts have no features and get the score of the bias; texts count whole, however long,
+    and a word in them counts once; equal texts have equal scores; labels that are null
     count as none; a document labelled twice is toxic if any label says so; a null id is in fold 0; without
     a toxic training label all scores are near 0; an empty table gives no rows; other columns are ignored.
     """
@@ -186,7 +202,7 @@ def nnpu_toxicity(
     held = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % folds == held_fold
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"), held(F.col(id_col)).alias("held_out"))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).dropna()
-    weights, bias = learn(narrow.where("NOT held_out").select("doc_id", "text"), known.where(~held(F.col("doc_id"))), max_positive, max_unlabelled, least, ratio)
+    weights, bias = learn(narrow.where("NOT held_out").select("doc_id", "text"), known.where(~held(F.col("doc_id"))), max_positive, max_unlabelled, least, ratio, broadcast_rows)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, tuple] = {}  # the chosen features of a word; forgotten when there are very many words

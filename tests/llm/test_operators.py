@@ -207,9 +207,8 @@ def test_toxicity(spark, docs, nothing):
 
 
 def test_pu_risk_separates():
-    names = np.array([10, 20], dtype=np.uint32)
-    has, lacks = np.array([10], dtype=np.uint32), np.array([20], dtype=np.uint32)
-    w, b = fit_nnpu(Rows([has] * 20, names), Rows([has] * 10 + [lacks] * 90, names), 0.1)
+    has, lacks = np.array([0]), np.array([1])
+    w, b = fit_nnpu(Rows([has] * 20, 2), Rows([has] * 10 + [lacks] * 90, 2), 0.1)
     assert w[0] + b > 0 > w[1] + b
 
 
