@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.components import components
-from brindle.llm.shared import cut, ship, text_of
+from brindle.llm.shared import cut, looked_up, ship, text_of
 
 WORDS = re.compile(r"[^\W_]+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 FACTOR = np.uint64(0x100000001B3)
+#: Texts of at most so many k-mers are candidates if they share one sketch: they may share few by chance.
+SHORT = 16
 
 
 def words_of(text: str) -> list[str]:
@@ -147,7 +149,8 @@ def _links(rows: pd.DataFrame, starts: np.ndarray, min_shared: int, similarity:
             if not len(at):
                 continue
             equal = keys[right[at]] == keys[r]
-            at = at[(equal.sum(axis=1) >= min_shared) & ~equal[:, : sketch[start]].any(axis=1)]
+            needed = np.where(np.minimum(n[right[at]], n[r]) <= SHORT, 1, min_shared)
+            at = at[(equal.sum(axis=1) >= needed) & ~equal[:, : sketch[start]].any(axis=1)]
             if not len(at):
                 continue
             if len(at) > 8:
@@ -178,7 +181,7 @@ def near_duplicates(
     sketches: int = 24,
     picks: int = 3,
     min_shared: int = 3,
-    block: int = 2048,
+    block: int = 600_000,
 ) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id, class_size, n_words; one row per row of ``docs``.
 
@@ -186,22 +189,29 @@ def near_duplicates(
     ``similarity`` or more; a class is a connected component of links; class_id is its smallest doc_id.
 
     1. Texts with the same words collapse to one node; only distinct texts are compared.
-    2. Each node has ``sketches`` Order MinHash values of ``picks`` k-mers. Linked texts share one with a chance of
-       about similarity ** picks (0.51) or more, and at least ``min_shared`` of 24 but for a chance of 1e-5;
-       pairs that share fewer are not candidates.
+    2. Each node has ``sketches`` Order MinHash values of ``picks`` k-mers. Linked texts of more than SHORT k-mers share
+       one with a chance of about similarity ** picks (0.51) or more, and at least ``min_shared`` of 24 but for a chance of
+       3e-5; pairs that share fewer are not candidates. For shorter texts the chance is 0.4 at least, and one shared value
+       makes a candidate: a link is missed with a chance of 5e-6.
     3. In each bucket (nodes that share a value), every node is paired with the node that has the most company over all
-       buckets: the original of a group of copies. Of these pairs each node keeps the best. They are
-       verified, and linked ones merge.
-    4. Only buckets that still hold several components are looked at again, in pairs of blocks of at most
-       about ``block`` nodes, each of which a task compares whole: no pair of a bucket that could be a link is
+       buckets: the original of a group of copies. Of these pairs each node keeps the one that it meets in most
+       buckets. They are verified, and linked ones merge.
+    4. Only buckets that still hold several components are looked at again, in pairs of blocks of about ``block`` k-mers
+       (or one longer text), each of which a task compares whole: no pair of a bucket that could be a link is
        left out. Pairs stay inside the task; it returns links that connect components, fewer than it has nodes.
+       A bucket of many texts that don't link is sent once for each of its blocks: the price of comparing all.
+
+    K-mers are compared by 32 bits. Two in a text of n words are equal by chance with a chance of n * n / 2 ** 33 (1e-8 for 10
+    words, 5% for 20,000), which moves its similarities by 1 / n at most: only a pair within 1 / n of ``similarity`` could be
+    judged otherwise.
 
     Nothing of this reaches the driver but counts. A bucket or group of any size is dealt over tasks: it
-    meets in minima and counts (map-side first), in joins (which Spark splits), or in blocks.
+    meets in minima and counts (map-side first), in joins that broadcast their bounded number of hot keys (looked_up), or in blocks.
 
-    Defined cases: texts without words are a class of their own each, with class_id = doc_id; repeated rows are
-    one text, in one class; null ids never give a class_id if the class has another; an empty table gives
-    no rows; other columns are ignored.
+    Defined cases: texts without words are a class of their own each, with class_id = doc_id; texts count whole, however
+    long; repeated rows are one text, in one class; null ids never give a class_id if the class has another; of nodes with
+    equal company the larger digest leads, which changes no class; an empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
@@ -219,28 +229,24 @@ def near_duplicates(
         _word_hash.cache_clear()  # workers are used again, also for other work
 
     rows = cut(narrow.mapInPandas(sketch, "doc_id long, node binary, n_words int, n int, keys array<long>"))
-    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    entries = nodes.select("node", F.posexplode("keys").alias("i", "key"))
-    shared = entries.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    nodes = cut(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("docs")))
+    entries = nodes.select("node", "n", F.posexplode("keys").alias("i", "key"))
+    shared = entries.groupBy("i", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("kmers")).where("size > 1")
     buckets = cut(entries.join(shared, ["i", "key"]))
 
-    def shingled(wanted: DataFrame) -> DataFrame:
-        """node, kmers of the wanted nodes, made anew from their texts."""
-        needed = wanted.join(nodes.select("node", "rep"), "node")
-
-        def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                made = [(_node(w), (labelled_kmers(w, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for w in map(words_of, batch["text"])]
-                yield pd.DataFrame(made, columns=["node", "kmers"])
-            _word_hash.cache_clear()
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [(_node(w), (labelled_kmers(w, k) >> np.uint64(32)).astype(np.uint32).view(np.int32)) for w in map(words_of, batch["text"])]
+            yield pd.DataFrame(made, columns=["node", "kmers"])
+        _word_hash.cache_clear()
 
-        texts = narrow.join(needed.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-        made = texts.mapInPandas(shingles, "node binary, kmers array<int>").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"])
-        return cut(made)
+    # The k-mers of all nodes with company, made anew from their texts: once, for both rounds of comparing.
+    needed = buckets.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    texts = narrow.join(needed.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    made = cut(texts.mapInPandas(shingles, "node binary, kmers array<int>").join(needed.select("node"), "node", "left_semi").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """a, b, similarity of the pairs."""
-        made = shingled(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         both = pairs.join(made.withColumnsRenamed({"node": "a", "kmers": "ka"}), "a").join(made.withColumnsRenamed({"node": "b", "kmers": "kb"}), "b")
 
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,21 +258,17 @@ def near_duplicates(
     pair = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
     company = buckets.groupBy("node").agg(F.sum(F.col("size") - 1).alias("company"))
     ranked = buckets.join(company, "node")
-    leaders = ranked.groupBy("i", "key").agg(F.max(F.struct("company", "node")).alias("lead")).select("i", "key", F.col("lead.node").alias("other"))
-    met = buckets.join(leaders, ["i", "key"]).where("node <> other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("met"))
-    info = nodes.select("node", "n", "keys")
-    sized = met.join(info, "node").join(info.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("keys").alias("other_keys")), "other")
-    agree = F.expr("aggregate(zip_with(keys, other_keys, (x, y) -> cast(x = y as int)), 0, (s, x) -> s + x)")
+    leaders = ranked.groupBy("i", "key").agg(F.max(F.struct("company", "node", "n")).alias("lead")).select("i", "key", F.col("lead.node").alias("other"), F.col("lead.n").alias("m"))
     fits = F.least("n", "m") >= F.greatest("n", "m") * (similarity - 1e-12)
-    best = sized.where(fits).withColumn("agree", agree).where(F.col("agree") >= min_shared).groupBy("node").agg(F.max(F.struct("agree", "other")).alias("best"))
+    met = buckets.join(leaders, ["i", "key"]).where("node <> other").where(fits).groupBy("node", "other").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("n", "m")).alias("least"))
+    best = met.where((F.col("met") >= min_shared) | (F.col("least") <= SHORT)).groupBy("node").agg(F.max(F.struct("met", "other")).alias("best"))
     checked = verified(cut(best.select("node", F.col("best.other").alias("other")).select(*pair).distinct()))
     labels = components(checked.where("similarity > 0"))
 
     placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = placed.groupBy("i", "key").agg((F.min("comp") != F.max("comp")).alias("several")).where("several").select("i", "key")
     rest = cut(placed.join(open_, ["i", "key"]))
-    made = shingled(rest.select("node").distinct())
-    n_blocks = F.ceil(F.col("size") / block).cast("int")
+    n_blocks = F.ceil(F.col("kmers") / block).cast("int")
     own = rest.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
     dealt = own.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumns({"lo": F.least("own", "to"), "hi": F.greatest("own", "to")})
 
@@ -285,14 +287,16 @@ def near_duplicates(
             yield _links(held, np.array([0]), min_shared, similarity)
 
     at = ["i", "key", "lo", "hi"]
-    full = dealt.select(*at, "own", "node", "comp").join(info.select("node", "keys"), "node").join(made, "node")
+    full = dealt.select(*at, "own", "node", "comp").join(nodes.select("node", "keys"), "node").join(made, "node")
     new = cut(full.repartition(*at).sortWithinPartitions(*at).mapInPandas(link, "a binary, b binary").distinct())
     if not new.isEmpty():
         labels = components(checked.where("similarity > 0").select("a", "b").unionByName(new))
 
-    comp = rows.select("doc_id", "node", "n_words").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    sizes = comp.where("n_words > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    lone = F.col("n_words") == 0
-    return comp.join(sizes, "comp", "left").select(
-        "doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(lone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"), "n_words"
-    )
+    # From rows to nodes to components and back, by tables of one row a key.
+    linked = cut(labels.join(nodes.select("node", "rep", "docs"), "node"))
+    sizes = cut(linked.groupBy("comp").agg(F.min("rep").alias("class_id"), F.sum("docs").alias("class_size"), F.count(F.lit(1)).alias("members")))
+    several = looked_up(linked.select("node", "comp"), sizes, "comp", "members").drop("comp")
+    classes = cut(nodes.select("node", "rep", "docs").join(several, "node", "left").select("node", F.coalesce("class_size", "docs").alias("class_size"), F.when(F.col("class_size").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), "docs"))
+    found = looked_up(rows.where("n_words > 0").select("doc_id", "node", "n_words"), classes, "node", "docs").select("doc_id", "class_id", "class_size", "n_words")
+    lone = rows.where("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "n_words")
+    return found.unionByName(lone)

@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the session's, or a temporary one where none is set (tests on one machine)."""
+    """The shared folder for checkpoints: the session's, or a temporary one where none is set and all runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
 
@@ -33,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 4096) -> DataFrame:
+    """The inner join of rows with ``table``, which has one row a key and, as ``count``, how many of the rows have the key.
+
+    Keys with more than a 1 / ``share`` part of the rows go by broadcast: there are fewer than ``share`` of them, whatever
+    the data. No other key is hot, so the rest is an even shuffle. Both frames are read several times: cut them before.
+    """
+    limit = (table.agg(F.sum(count)).first()[0] or 0) / share
+    heavy = F.broadcast(table.where(F.col(count) > limit).drop(count))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(count) <= limit).drop(count), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
