@@ -1,14 +1,15 @@
-"""Rules for text columns: validation, translations, attachments and search helpers, as columns."""
+"""Rules for columns: validation, translations, attachments, timestamps and search helpers, as columns."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of the validation rules.
-EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"
+EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 UUID = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 
 RULES = ("required", "email", "url", "min_length", "max_length", "length", "min", "max", "range", "regex", "alpha", "alphanumeric", "numeric", "uuid", "in", "not_in")
@@ -23,14 +24,14 @@ def valid(column: Column, rule: str, *args) -> Column:
         "url": lambda: text.rlike("^https?://") & F.try_parse_url(text, F.lit("HOST")).isNotNull(),
         "min_length": lambda: F.char_length(text) >= args[0],
         "max_length": lambda: F.char_length(text) <= args[0],
-        "length": lambda: F.char_length(text).between(args[0], args[1]),
+        "length": lambda: F.char_length(text).between(args[0], args[-1]),
         "min": lambda: column >= args[0],
         "max": lambda: column <= args[0],
         "range": lambda: column.between(args[0], args[1]),
         "regex": lambda: text.rlike(args[0]),
-        "alpha": lambda: text.rlike(r"^\p{L}+$"),
-        "alphanumeric": lambda: text.rlike(r"^[\p{L}\p{N}]+$"),
-        "numeric": lambda: text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"),
+        "alpha": lambda: text.rlike(r"^\p{IsAlphabetic}*$"),
+        "alphanumeric": lambda: text.rlike(r"^[\p{IsAlphabetic}\p{N}]*$"),
+        "numeric": lambda: text.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$") & (F.abs(text.try_cast("double")) < float("inf")),
         "uuid": lambda: text.rlike(UUID),
         "in": lambda: column.isin(*args[0]),
         "not_in": lambda: ~column.isin(*args[0]),
@@ -47,10 +48,99 @@ def violations(rules: dict[str, Sequence[tuple]]) -> Column:
     return F.filter(F.array(*marks), lambda x: x.isNotNull())
 
 
-def translated(text: Column, field: str, language: str, fallback: str) -> Column:
-    """A field of a translations document {field: {language: value}} in a language, else in the fallback."""
-    get = lambda lang: F.get_json_object(text, f"$['{field}']['{lang}']")
-    return F.coalesce(get(language), get(fallback))
+#: What is said of a broken rule; {0} is the field, the rule's arguments follow.
+MESSAGES = {
+    "required": "The {0} field is required",
+    "email": "The {0} must be a valid email address",
+    "url": "The {0} must be a valid URL",
+    "min_length": "The {0} must be at least {1} characters",
+    "max_length": "The {0} must not exceed {1} characters",
+    "length": "The {0} must be exactly {1} characters",
+    "min": "The {0} must be at least {1}",
+    "max": "The {0} must not exceed {1}",
+    "range": "The {0} must be between {1} and {2}",
+    "regex": "The {0} format is invalid (must match: {1})",
+    "alpha": "The {0} must only contain letters",
+    "alphanumeric": "The {0} must only contain letters and numbers",
+    "numeric": "The {0} must be a number",
+    "uuid": "The {0} must be a valid UUID",
+    "in": "The {0} must be one of: {1}",
+    "not_in": "The {0} must not be one of: {1}",
+}
+
+
+def message(field: str, rule: str, *args) -> str:
+    return MESSAGES[rule].format(field, *[", ".join(map(str, a)) if isinstance(a, (list, tuple, set)) else a for a in args])
+
+
+def errors(rules: dict[str, Sequence[tuple]]) -> Column:
+    """Map of a row's broken fields to the messages of the rules that each breaks, in order; empty for a valid row."""
+    entries = []
+    for field, listed in rules.items():
+        said = F.filter(F.array(*[F.when(~valid(F.col(field), name, *args), F.lit(message(field, name, *args))) for name, *args in listed]), lambda x: x.isNotNull())
+        entries.append(F.struct(F.lit(field).alias("key"), said.alias("value")))
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: F.size(e["value"]) > 0))
+
+
+@dataclass(frozen=True)
+class Checks:
+    """Rules by field, one after the other: Checks().field("mail").rule("required").rule("email").rule("max_length", 80)."""
+
+    rules: tuple[tuple[str, tuple], ...] = ()
+    at: str | None = None
+
+    def field(self, name: str) -> Checks:
+        return replace(self, at=name)
+
+    def rule(self, name: str, *args) -> Checks:
+        if self.at is None or name not in RULES:
+            raise ValueError("a rule follows a field, and is one of " + ", ".join(RULES))
+        return replace(self, rules=(*self.rules, (self.at, (name, *args))))
+
+    def by_field(self) -> dict[str, list[tuple]]:
+        found: dict[str, list[tuple]] = {}
+        for field, rule in self.rules:
+            found.setdefault(field, []).append(rule)
+        return found
+
+    def errors(self) -> Column:
+        return errors(self.by_field())
+
+    def passed(self) -> Column:
+        return F.size(self.errors()) == 0
+
+
+# translations: a document {field: {language: value}}
+
+
+def translation(text: Column, field: str, language: str) -> Column:
+    """A field in a language; NULL where it has none."""
+    return F.get_json_object(text, f"$['{field}']['{language}']")
+
+
+def translated(text: Column, field: str, language: str, fallback: str, default: Column | None = None) -> Column:
+    """A field in a language, else in the fallback, else the default."""
+    return F.coalesce(translation(text, field, language), translation(text, field, fallback), *([default] if default is not None else []))
+
+
+def all_translations(text: Column, field: str) -> Column:
+    """Map of language to value of a field; empty for none."""
+    return F.coalesce(F.from_json(F.get_json_object(text, f"$['{field}']"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def translations_in(text: Column, fields: Sequence[str], language: str) -> Column:
+    """Map of field to value in a language, for the fields that have it."""
+    entries = F.array(*[F.struct(F.lit(f).alias("key"), translation(text, f, language).alias("value")) for f in fields])
+    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+
+def has_translation(text: Column, field: str, language: str) -> Column:
+    return F.coalesce(F.array_contains(F.json_object_keys(F.get_json_object(text, f"$['{field}']")), language), F.lit(False))
+
+
+def render_translations(rows: DataFrame, document: str, fields: Sequence[str], language: str, fallback: str) -> DataFrame:
+    """rows with the fields' columns in a language (else in the fallback, else as they are)."""
+    return rows.withColumns({f: translated(F.col(document), f, language, fallback, F.col(f)) for f in fields})
 
 
 def languages(text: Column, field: str) -> Column:
@@ -64,6 +154,39 @@ def files(text: Column, relation: str) -> Column:
     return F.when(one.startswith("["), F.transform(F.from_json(one, "array<variant>"), F.to_json)).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>"))
 
 
+def first_file(text: Column, relation: str) -> Column:
+    """The first attachment of a relation, as JSON text; NULL for none."""
+    return F.try_element_at(files(text, relation), F.lit(1))
+
+
+def count_files(text: Column, relation: str) -> Column:
+    return F.size(files(text, relation))
+
+
+# timestamps as whole numbers
+
+
+def moment(seconds: Column) -> Column:
+    return F.timestamp_seconds(seconds)
+
+
+def moment_of_millis(millis: Column) -> Column:
+    return F.timestamp_millis(millis)
+
+
+def unix_seconds(moment: Column) -> Column:
+    return F.unix_seconds(moment.cast("timestamp"))
+
+
+def unix_millis(moment: Column) -> Column:
+    return F.unix_millis(moment.cast("timestamp"))
+
+
+def seconds_of_millis(millis: Column) -> Column:
+    """Whole seconds, rounded down also before 1970."""
+    return F.floor(millis.cast("decimal(20,0)") / 1000).cast("long")
+
+
 def escape_html(text: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(raw), F.lit(safe))

@@ -16,23 +16,28 @@ class Relation:
     """How rows of another model belong to a row.
 
     kind: ``has_many``, ``has_one``, ``belongs_to``, ``through`` (many-to-many over a pivot table), ``morph_many``,
-    ``morph_one``. ``local`` is a column of the owner, ``foreign`` one of the related table (for ``through``: of
-    the pivot, whose ``pivot_related`` names the related rows' ``related_key``).
+    ``morph_one``, ``morph_to``. ``local`` is a column of the owner, ``foreign`` one of the related table (for ``through``: of
+    the pivot, whose ``pivot_related`` names the related rows' ``related_key``). For ``morph_to``, ``local`` is the column that holds
+    the owner's key, ``model`` a function that gives the models which owners may be of.
     """
 
     kind: str
-    model: Callable[[], Model] | Model
+    model: Callable[[], Model] | Callable[[], tuple[Model, ...]] | Model
     local: str
-    foreign: str
+    foreign: str = ""
     pivot: str | None = None
     pivot_related: str | None = None
     related_key: str | None = None
-    morph: tuple[str, str] | None = None  # discriminator column and its value
+    morph: tuple[str, str] | None = None  # discriminator column and its value (morph_to: None)
 
     @property
     def related(self) -> Model:
         return self.model if isinstance(self.model, Model) else self.model()
 
+    @property
+    def models(self) -> tuple[Model, ...]:
+        return self.model()
+
     @property
     def many(self) -> bool:
         return self.kind in ("has_many", "through", "morph_many")

@@ -1,41 +1,82 @@
-"""Results kept for a while, by the form of the query and its values."""
+"""Cached results of queries: the key is all that the query says, the tables are all that it reads."""
 
 from __future__ import annotations
 
-import time
+from dataclasses import fields, is_dataclass
+from datetime import date, time
+from decimal import Decimal
+from uuid import UUID
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from brindle.errors import QueryError
+from brindle.model import Model
+from brindle.sources.database import Database
+
+
+def content(x) -> str:
+    """What a part of a query says, as text: equal for equal parts only. Functions and columns of Spark say nothing that
+    could be compared, so a query with one has no key."""
+    if x is None or isinstance(x, (bool, int, float, str, bytes, Decimal, date, time, UUID)):
+        return f"{type(x).__name__} {x!r}"
+    if isinstance(x, T.DataType):
+        return x.json()
+    if isinstance(x, Model):
+        return f"model {x.table} {x.schema.json()} {x.primary_key} {x.soft_delete} {sorted(x.json)} {sorted(x.renamed.items())}"
+    if isinstance(x, (tuple, list)):
+        return f"[{', '.join(map(content, x))}]"
+    if isinstance(x, (set, frozenset)):
+        return f"{{{', '.join(sorted(map(content, x)))}}}"
+    if isinstance(x, dict):
+        return f"{{{', '.join(sorted(f'{content(k)}: {content(v)}' for k, v in x.items()))}}}"
+    if isinstance(x, Database):
+        return f"database {x.number}"
+    if is_dataclass(x) and not isinstance(x, type):
+        return f"{type(x).__name__}({', '.join(f'{f.name}={content(getattr(x, f.name))}' for f in fields(x) if f.compare and f.name != 'cache')})"
+    raise QueryError(f"a query with {x!r} can't be cached: it has no content to tell it from others")
 
 
 def key_of(query) -> str:
-    clauses = {k: repr(v) for k, v in vars(query.clauses).items() if k != "cache"}
-    return repr((query.model.table, sorted(clauses.items()), query.clauses.cache[1]))
+    return f"{query.clauses.cache[1]} {content(query)}"
 
 
 def tables_of(query) -> set[str]:
-    joined = {j.table if isinstance(j.table, str) else j.table.table for j in query.clauses.joins}
-    return {query.model.table, *joined}
+    """Every table that the query reads: its own, those of joins, subqueries, unions and common tables, and those that raw SQL names."""
+    found: set[str] = set()
+
+    def walk(x) -> None:
+        if isinstance(x, str):
+            if "select" in x.lower():
+                found.update(query.db.named(x))
+        elif isinstance(x, Model):
+            found.add(x.table)
+        elif isinstance(x, (tuple, list)):
+            for y in x:
+                walk(y)
+        elif is_dataclass(x) and not isinstance(x, type):
+            if isinstance(getattr(x, "table", None), str):
+                found.add(x.table)
+            for f in fields(x):
+                if f.name != "db":
+                    walk(getattr(x, f.name))
+
+    walk(query)
+    return found
 
 
 def remembered(query) -> DataFrame:
     """The query's frame, persisted until its time is over or a table it reads is changed through the database."""
-    store, key, now = query.db.cache, key_of(query), time.monotonic()
-    evict(query.db, now)
-    if key not in store:
-        store[key] = (query.frame().persist(), tables_of(query), now + query.clauses.cache[0])
-    return store[key][0]
+    seconds, _, tags = query.clauses.cache
+    key = key_of(query)
+    found = query.db.cache.get(key)
+    return found if found is not None else query.db.cache.set(key, query.frame(), seconds, tables_of(query), tags)
 
 
-def evict(db, now: float | None = None) -> int:
+def evict(db) -> int:
     """Drop what is over; returns how many."""
-    now = time.monotonic() if now is None else now
-    over = [k for k, (_, _, until) in db.cache.items() if until <= now]
-    for k in over:
-        db.cache.pop(k)[0].unpersist()
-    return len(over)
+    return db.cache.evict_expired()
 
 
 def clear(db) -> None:
-    for df, _, _ in db.cache.values():
-        df.unpersist()
     db.cache.clear()

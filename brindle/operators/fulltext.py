@@ -15,6 +15,8 @@ from brindle.query import Query
 #: Weights of the columns in order (A, B, C, D); columns after the fourth weigh as the fourth.
 WEIGHTS = (1.0, 0.4, 0.2, 0.1)
 MODES = ("natural", "boolean", "phrase", "prefix", "proximity")
+#: Fixed value: the furthest apart that a proximity search looks, in tokens.
+FURTHEST = 64
 
 
 def tokens(column: Column) -> Column:
@@ -62,8 +64,8 @@ class Search:
     """query.search(columns, text): the rows of the query that match.
 
     Modes: ``natural`` (every word), ``boolean`` (+required -excluded "phrases" optional; if nothing is required, an
-    optional part must match), ``phrase``, ``prefix`` (every word begins a token), ``proximity`` (all words
-    within ``distance`` tokens). A search without a word matches nothing.
+    optional part must match), ``phrase``, ``prefix`` (every word begins a token), ``proximity`` (each two neighbouring
+    words within ``distance`` tokens, either way round). A search without a word matches nothing.
     """
 
     query: Query
@@ -73,6 +75,7 @@ class Search:
     distance: int = 10
     weights: tuple[float, ...] = WEIGHTS
     min_length: int = 1
+    max_length: int | None = None
     stop_words: frozenset[str] = frozenset()
     least_rank: float | None = None
     tags: tuple[str, str] | None = None
@@ -88,8 +91,11 @@ class Search:
     def weighted(self, *weights: float) -> Search:
         return replace(self, weights=weights)
 
-    def terms_with(self, min_length: int = 1, stop_words=()) -> Search:
-        return replace(self, min_length=min_length, stop_words=frozenset(stop_words))
+    def terms_with(self, min_length: int = 1, stop_words=(), max_length: int | None = None) -> Search:
+        return replace(self, min_length=min_length, max_length=max_length, stop_words=frozenset(w.lower() for w in stop_words))
+
+    def keeps_term(self, word: str) -> bool:
+        return self.min_length <= len(word) <= (self.max_length or len(word)) and word.lower() not in self.stop_words
 
     def min_rank(self, rank: float) -> Search:
         return replace(self, least_rank=rank)
@@ -116,7 +122,7 @@ class Search:
             found = [w.rstrip("*") for p in required + optional for w in p]
         else:
             found = terms_of(self.text)
-        return list(dict.fromkeys(w for w in found if len(w) >= self.min_length and w not in self.stop_words))
+        return list(dict.fromkeys(w for w in found if self.keeps_term(w)))
 
     def _match(self, found: Column) -> Column:
         words = self.words()
@@ -135,26 +141,47 @@ class Search:
         if self.mode_name == "prefix":
             return _all(_has(found, w + "*") for w in words)
         if self.mode_name == "proximity":
-            spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: F.slice(found, i, self.distance + 1))
-            return _all(_has(found, w) for w in words) & F.exists(spans, lambda s: _all(F.array_contains(s, w) for w in words))
+            if len(words) == 1:
+                return _has(found, words[0])
+            return _all(self._near(found, a, b) for a, b in zip(words, words[1:]))
         return _all(_has(found, w) for w in words)
 
+    def _near(self, found: Column, a: str, b: str) -> Column:
+        """Two words, one beside the other in the search, at most ``distance`` tokens apart, either way round."""
+        places = lambda w: F.filter(F.transform(found, lambda t, i: F.when(t == w, i)), lambda i: i.isNotNull())
+        return F.exists(places(a), lambda i: F.exists(places(b), lambda j: F.abs(i - j) <= F.lit(min(self.distance, FURTHEST))))
+
     def _hit(self, word: str):
         return (lambda t: t.startswith(word)) if self.mode_name == "prefix" else (lambda t: t == word)
 
     def _rank(self) -> Column:
         """Weighted frequency: for each column and word, weight * tf / (tf + 1), summed."""
         total = F.lit(0.0)
-        for i, c in enumerate(self.columns):
-            found = tokens(F.col(c))
+        for i, _ in enumerate(self.columns):
             for w in self.words():
-                tf = F.size(F.filter(found, self._hit(w))).cast("double")
+                tf = F.size(F.filter(F.col(f"_tokens_{i}"), self._hit(w))).cast("double")
                 total = total + F.lit(float(self.weights[min(i, len(self.weights) - 1)])) * tf / (tf + 1)
         return total
 
-    def _matching(self) -> DataFrame:
-        all_text = F.concat_ws(" ", *[F.col(c).cast("string") for c in self.columns])
-        return self.query.frame().where(self._match(tokens(all_text)))
+    def _needed(self) -> list[str]:
+        """Words that a match must hold, as the beginning of a token at least."""
+        if self.mode_name == "boolean":
+            return [w.rstrip("*") for p in parse_boolean(self.text)[0] for w in p]
+        return terms_of(self.text) if self.mode_name == "phrase" else self.words()
+
+    def _matching(self, tokens_too: bool = False) -> DataFrame:
+        """Matching rows. Texts that lack a needed word even as a part are left out before anything is split; the others are
+        split once, into ``_tokens_0`` and so on, which match and rank read."""
+        df = self.query.frame()
+        for word in self._needed():
+            held = F.lit(False)
+            for c in self.columns:
+                held = held | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(word))
+            df = df.where(held)
+        split = df.select("*", *[tokens(F.col(c)).alias(f"_tokens_{i}") for i, c in enumerate(self.columns)])
+        names = [f"_tokens_{i}" for i in range(len(self.columns))]
+        found = split.where(self._match(F.concat(*names) if len(names) > 1 else F.col(names[0])))
+        return found if tokens_too else found.drop(*names)
 
     def _cut(self, df: DataFrame) -> DataFrame:
         df = df.offset(self.offset_rows) if self.offset_rows else df
@@ -166,7 +193,7 @@ class Search:
 
     def ranked(self, rank: str = "search_rank") -> DataFrame:
         """Matching rows with their rank, highest first (then by key), and a marked copy of each column if asked."""
-        df = self._matching().withColumn(rank, self._rank())
+        df = self._matching(True).withColumn(rank, self._rank()).drop(*[f"_tokens_{i}" for i in range(len(self.columns))])
         if self.least_rank is not None:
             df = df.where(F.col(rank) >= self.least_rank)
         if self.tags:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import datetime, timezone
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -14,29 +15,48 @@ from brindle.errors import QueryError
 from brindle.functions.coerce import WHOLE, literal
 from brindle.plans.compile import Compiled, last
 from brindle.plans.predicates import bound
-from brindle.query import Filters, Alternatives, Query, name_of, names_of
+from brindle.query import Alternatives, Filters, Query, name_of, names_of
+from brindle.sources.lineage import cut
+
+
+#: What a change does to a row: leaves it, changes or adds it, takes it away.
+LEFT, TOUCHED, REMOVED = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Change:
-    """The table after a change (``frame``) and the rows that it touches (``touched``, as they are afterwards; for
-    deletions, as they were). Both are lazy."""
+    """A change of a table: ``marked`` has its rows afterwards and those taken away, with ``_did``, what was done to each.
+
+    Lazy until it is executed. Then it is written to the checkpoint folder once, so that the rows told, the rows stored and
+    the rows of later reads are the same, and plans don't grow with every change.
+    """
 
     db: object
     table: str
-    frame: DataFrame
-    touched: DataFrame
+    marked: DataFrame
+
+    @property
+    def frame(self) -> DataFrame:
+        """The table after the change."""
+        return self.marked.where(F.col("_did") != REMOVED).drop("_did")
+
+    @property
+    def touched(self) -> DataFrame:
+        """The rows that it touches, as they are afterwards; for deletions, as they were."""
+        return self.marked.where(F.col("_did") != LEFT).drop("_did")
+
+    def _made(self) -> Change:
+        done = replace(self, marked=cut(self.marked))
+        self.db.put(self.table, done.frame)
+        return done
 
     def execute(self) -> int:
         """Make the change the table's content for its database; returns the number of rows touched."""
-        n = self.touched.count()
-        self.db.put(self.table, self.frame)
-        return n
+        return self._made().touched.count()
 
     def execute_returning(self) -> list:
-        rows = self.touched.collect()
-        self.db.put(self.table, self.frame)
-        return rows
+        """As execute, with the rows touched: as many as the caller chose to change."""
+        return self._made().touched.collect()
 
 
 def _guard(query: Query, what: str, scope_counts: bool = False) -> None:
@@ -66,6 +86,9 @@ def _hits(query: Query) -> tuple[DataFrame, Column]:
     keys = list(query.model.primary_key)
     if not keys:
         raise QueryError(f"{query.model.table} has no primary key to limit a change by")
+    if not c.order_by:
+        for key in keys:
+            query = query.order_asc(key)
     chosen = query._with(select=tuple(keys), raw_select=()).frame().select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.lit(True).alias("_chosen"))
     on = [F.col(f"{query.model.table}.{k}") == F.col(f"_k_{k}") for k in keys]
     return df.join(chosen, on, "left"), F.coalesce(F.col("_chosen"), F.lit(False))
@@ -75,17 +98,20 @@ def _removed(query: Query, what: str, guard: bool = True, scope_counts: bool = F
     if guard:
         _guard(query, what, scope_counts)
     df, hit = _hits(query)
-    names = query.model.names
-    return Change(query.db, query.model.table, df.where(~hit).select(*names), df.where(hit).select(*names))
+    return Change(query.db, query.model.table, df.select(*query.model.names, F.when(hit, REMOVED).otherwise(LEFT).alias("_did")))
+
+
+def _now() -> datetime:
+    """The moment of a change: one value, whenever its rows are read."""
+    return datetime.now(timezone.utc)
 
 
-def _stamped(query: Query, value: Column, among: Column) -> Change:
+def _stamped(query: Query, value: datetime | None, among: Column) -> Change:
     df, hit = _hits(query)
     column, names = query.model.soft_delete, query.model.names
-    hit = hit & among
-    kind = query.model.kind_of(column)
-    marked = df.withColumn("_hit", hit).withColumn(column, F.when(F.col("_hit"), value.cast(kind)).otherwise(F.col(column)))
-    return Change(query.db, query.model.table, marked.select(*names), marked.where("_hit").select(*names))
+    marked = df.withColumn("_hit", hit & among)
+    stamp = F.when(F.col("_hit"), literal(value, query.model.kind_of(column))).otherwise(F.col(column)).alias(column)
+    return Change(query.db, query.model.table, marked.select(*[stamp if n == column else F.col(n) for n in names], F.when(F.col("_hit"), TOUCHED).otherwise(LEFT).alias("_did")))
 
 
 def _needs_soft_delete(query: Query) -> None:
@@ -104,7 +130,7 @@ def delete_all(query: Query) -> Change:
     if query.clauses.where or query.clauses.or_where:
         raise QueryError("delete_all takes no filters")
     if query.model.soft_delete:
-        return _stamped(query, F.current_timestamp(), F.col(query.model.soft_delete).isNull())
+        return _stamped(query, _now(), F.col(query.model.soft_delete).isNull())
     return _removed(query, "delete_all", guard=False)
 
 
@@ -112,14 +138,14 @@ def soft_delete(query: Query) -> Change:
     """Stamp live rows; trashed ones keep their stamp."""
     _needs_soft_delete(query)
     _guard(query, "soft_delete")
-    return _stamped(query.with_trashed(), F.current_timestamp(), F.col(query.model.soft_delete).isNull())
+    return _stamped(query.with_trashed(), _now(), F.col(query.model.soft_delete).isNull())
 
 
 def restore(query: Query) -> Change:
     """Take the stamp off trashed rows."""
     _needs_soft_delete(query)
     _guard(query, "restore", scope_counts=True)
-    return _stamped(query.with_trashed(), F.lit(None), F.col(query.model.soft_delete).isNotNull())
+    return _stamped(query.with_trashed(), None, F.col(query.model.soft_delete).isNotNull())
 
 
 def force_delete(query: Query) -> Change:
@@ -163,6 +189,10 @@ class Update(Filters, Alternatives):
     def set(self, column, value) -> Update:
         return self._assign(column, lambda _, kind: literal(value, kind))
 
+    def set_value(self, column, expression: Column) -> Update:
+        """Set a column to a Spark expression over the row."""
+        return self._assign(column, lambda c, kind: expression)
+
     def set_trusted_raw(self, column, expression: str, *params) -> Update:
         sql = bound(expression, params)
         return self._assign(column, lambda c, kind: F.expr(sql))
@@ -236,13 +266,13 @@ class Update(Filters, Alternatives):
         df, hit = _hits(query)
         names = query.model.names
         if not self.assignments:
-            return Change(query.db, query.model.table, df.select(*names), df.select(*names).limit(0))
+            return Change(query.db, query.model.table, df.select(*names, F.lit(LEFT).alias("_did")))
         new: dict[str, Column] = {}
         for name, make in self.assignments:
             new[name] = make(new.get(name, F.col(name)))
         marked = df.withColumn("_hit", hit)
-        out = marked.select(*[F.when(F.col("_hit"), new[n]).otherwise(F.col(n)).alias(n) if n in new else F.col(n) for n in names], "_hit")
-        return Change(query.db, query.model.table, out.select(*names), out.where("_hit").select(*names))
+        out = [F.when(F.col("_hit"), new[n]).otherwise(F.col(n)).alias(n) if n in new else F.col(n) for n in names]
+        return Change(query.db, query.model.table, marked.select(*out, F.when(F.col("_hit"), TOUCHED).otherwise(LEFT).alias("_did")))
 
     def execute(self) -> int:
         return self.change().execute()
@@ -258,15 +288,20 @@ def insert_all(db, model, rows: DataFrame | Sequence) -> Change:
     """Append rows."""
     new = rows if isinstance(rows, DataFrame) else db.spark.createDataFrame(rows, model.schema)
     new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in model.schema.fields])
-    return Change(db, model.table, db.table(model.table).select(*model.names).unionByName(new), new)
+    return Change(db, model.table, db.table(model.table).select(*model.names, F.lit(LEFT).alias("_did")).unionByName(new.withColumn("_did", F.lit(TOUCHED))))
+
+
+def insert_many(db, model, rows: DataFrame | Sequence) -> int:
+    """Append rows; returns their number."""
+    return insert_all(db, model, rows).execute()
 
 
 @dataclass(frozen=True)
 class Upsert:
     """Insert rows, or change stored ones that agree with them in the conflict columns.
 
-    A NULL in a conflict column conflicts with nothing. Of new rows that conflict with each other the last by
-    the remaining columns' order wins.
+    A NULL in a conflict column conflicts with nothing. Of new rows that conflict with each other the last given wins (with
+    do_nothing: the first); rows of a DataFrame are given in the order of its partitions.
     """
 
     db: object
@@ -290,19 +325,20 @@ class Upsert:
         names, keys = self.model.names, list(self.conflict)
         stored = self.db.table(self.model.table).select(*names)
         new = rows if isinstance(rows, DataFrame) else self.db.spark.createDataFrame(rows, self.model.schema)
-        new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.model.schema.fields])
+        new = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.model.schema.fields], F.monotonically_increasing_id().alias("_at"))
         keyed = F.lit(True)
         for k in keys:
             keyed = keyed & F.col(k).isNotNull()
         rest = [n for n in names if n not in keys]
-        one = new.where(keyed).groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_new")) if rest else new.where(keyed).distinct().withColumn("_new", F.struct(F.lit(1)))
         changed = [n for n in (self.columns if self.columns is not None else rest) if n not in keys]
+        pick = F.max_by if changed or self.columns is None else F.min_by
+        one = new.where(keyed).groupBy(*keys).agg(pick(F.struct(*rest, F.lit(True).alias("_is")), "_at").alias("_new"))
         merged = stored.join(one, keys, "left")
         hit = F.col("_new").isNotNull()
-        after = merged.select(*[F.when(hit, F.col(f"_new.{n}")).otherwise(F.col(n)).alias(n) if n in changed else F.col(n) for n in names], hit.alias("_hit"))
-        fresh = one.join(stored.select(*keys), keys, "left_anti").select(*[F.col(f"_new.{n}").alias(n) if n in rest else F.col(n) for n in names]).unionByName(new.where(~keyed))
-        touched = (after.where("_hit").select(*names) if changed else after.select(*names).limit(0)).unionByName(fresh)
-        return Change(self.db, self.model.table, after.select(*names).unionByName(fresh), touched)
+        did = F.when(hit & F.lit(bool(changed)), TOUCHED).otherwise(LEFT).alias("_did")
+        after = merged.select(*[F.when(hit, F.col(f"_new.{n}")).otherwise(F.col(n)).alias(n) if n in changed else F.col(n) for n in names], did)
+        fresh = one.join(stored.select(*keys), keys, "left_anti").select(*[F.col(f"_new.{n}").alias(n) if n in rest else F.col(n) for n in names]).unionByName(new.where(~keyed).drop("_at"))
+        return Change(self.db, self.model.table, after.unionByName(fresh.withColumn("_did", F.lit(TOUCHED))))
 
 
 def on_conflict(db, model, *columns) -> Upsert:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.errors import NotFound, QueryError
@@ -39,31 +39,77 @@ def related_rows(db, relation: Relation, constrain: Callable[[Query], Query] = l
     return rows.join(pivot, rows[relation.related_key or model.primary_key[0]] == pivot["_to"]).drop("_to")
 
 
-def attach(db, owners: DataFrame, model: Model, tree: dict) -> DataFrame:
+def attach(db, owners: DataFrame, model: Model, tree: dict, few: bool = False) -> DataFrame:
     """owners with a column for each relation of the tree: an array of rows, in the order of their key, or one row or NULL.
 
     One plan of equi joins for all owners, however many: children are nested bottom-up, grouped by the owner's
-    key (map-side first) and joined once.
+    key (map-side first) and joined once. Where the owners are ``few`` (chosen by filters or a limit), only children with one of
+    their keys are read on, at each level: a semi join, which Spark broadcasts if the keys are small. The children of one
+    owner are one row, so they must fit into a task.
     """
     for name, below in tree.items():
         relation = model.relation(name)
+        if relation.kind == "morph_to":
+            owners = MorphTo(db, relation).attached(owners, name)
+            continue
         child = relation.related
-        rows = attach(db, related_rows(db, relation).withColumnRenamed("_owner", f"_owner_of_{name}"), child, below).withColumnRenamed(f"_owner_of_{name}", "_owner")
+        rows = related_rows(db, relation).where(F.col("_owner").isNotNull())
+        if few:
+            keys = owners.select(F.col(relation.local).alias("_key")).distinct()
+            rows = rows.join(keys, rows["_owner"] == keys["_key"], "left_semi")
+        kept = [c for c in rows.columns if c == "_owner" or c not in child.hidden or c in {child.relation(b).local for b in below} or c in child.primary_key]
+        rows = attach(db, rows.select(*kept).withColumnRenamed("_owner", f"_owner_of_{name}"), child, below, few).withColumnRenamed(f"_owner_of_{name}", "_owner")
         names = [c for c in rows.columns if not c.startswith("_owner") and c not in child.hidden]
         row = F.struct(*names)
         order = [F.col(k) for k in child.primary_key]
         if relation.many:
             sort = F.struct(*order, row.alias("_row")) if order else F.struct(row.alias("_row"))
-            grouped = rows.where(F.col("_owner").isNotNull()).groupBy("_owner").agg(F.transform(F.array_sort(F.collect_list(sort)), lambda x: x["_row"]).alias(name))
+            grouped = rows.groupBy("_owner").agg(F.transform(F.array_sort(F.collect_list(sort)), lambda x: x["_row"]).alias(name))
         else:
-            pick = Window.partitionBy("_owner").orderBy(*(order or [F.lit(1)]))
-            grouped = rows.where(F.col("_owner").isNotNull()).withColumn("_nth", F.row_number().over(pick)).where("_nth = 1").select("_owner", row.alias(name))
+            grouped = rows.groupBy("_owner").agg(F.min_by(row, F.struct(*order) if order else F.struct(*names)).alias(name))
         owners = owners.join(grouped, owners[relation.local] == grouped["_owner"], "left").drop("_owner")
         if relation.many:
             owners = owners.withColumn(name, F.coalesce(name, F.array().cast(owners.schema[name].dataType)))
     return owners
 
 
+@dataclass(frozen=True)
+class MorphTo:
+    """The other side of a polymorphic relation: rows that name their owner's table in one column and its key in another.
+
+    The relation's ``morph`` holds the column of the type, ``local`` that of the key; ``models`` are the owners it may have. A NULL
+    in either column is a row without an owner.
+    """
+
+    db: object
+    relation: Relation
+
+    def is_type(self, model: Model) -> Column:
+        """Whether a row's owner is of a model."""
+        return F.coalesce(F.col(self.relation.morph[0]) == F.lit(model.table), F.lit(False))
+
+    def load_as(self, rows: DataFrame, model: Model, name: str = "owner") -> DataFrame:
+        """rows with their owner of one model as a struct; NULL where the owner is of another, or is not stored."""
+        key = self.relation.related_key or model.primary_key[0]
+        found = Query(model, self.db).frame()
+        owners = found.select(F.col(key).alias("_owner"), F.struct(*[c for c in found.columns if c not in model.hidden]).alias(name))
+        return rows.join(owners, self.is_type(model) & (F.col(self.relation.local) == owners["_owner"]), "left").drop("_owner")
+
+    def load(self, rows: DataFrame, model: Model, name: str = "owner") -> DataFrame:
+        """As load_as, for rows whose owners are all of the model: others are an error."""
+        other = rows.where(F.col(self.relation.morph[0]) != model.table).select(self.relation.morph[0]).first()
+        if other:
+            raise QueryError(f"a row's owner is of {other[0]}, not of {model.table}: load_as takes rows of several types")
+        return self.load_as(rows, model, name)
+
+    def attached(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows with a struct of an owner for each model of the relation, under the name of its table: at most one is not NULL."""
+        for model in self.relation.models:
+            rows = self.load_as(rows, model, f"_as_{model.table}")
+        made = F.struct(*[F.col(f"_as_{m.table}").alias(m.table) for m in self.relation.models])
+        return rows.withColumn(name, made).drop(*[f"_as_{m.table}" for m in self.relation.models])
+
+
 @dataclass(frozen=True)
 class Eager:
     """A query whose rows come with relations. Limits and pages count owners: they apply before the joins."""
@@ -80,7 +126,8 @@ class Eager:
         return replace(self, query=f(self.query))
 
     def frame(self) -> DataFrame:
-        return attach(self.query.db, self.query.frame(), self.query.model, tree_of(self.paths))
+        c = self.query.clauses
+        return attach(self.query.db, self.query.frame(), self.query.model, tree_of(self.paths), bool(c.where or c.or_where or c.limit is not None))
 
     def get(self) -> list:
         return self.frame().collect()

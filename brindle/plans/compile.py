@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.errors import QueryError
-from brindle.plans.predicates import Group, Raw, Scope, bound
+from brindle.plans.predicates import Group, Raw, Scope, bound, checked_query
 from brindle.plans.windows import ordering
 
 #: Types that may meet in a column of a union.
@@ -65,7 +65,11 @@ class Compiled:
 
     @property
     def scope(self) -> Scope:
-        return Scope(self.resolve, self.kind, self.is_json)
+        return Scope(self.resolve, self.kind, self.is_json, self.expr)
+
+    def expr(self, sql: str) -> Column:
+        """A fragment, whose subqueries read the tables of the query's database and its common tables."""
+        return F.expr(self.db.local_fragment(sql, self.ctes))
 
     # parts
 
@@ -76,12 +80,12 @@ class Compiled:
         for cte in self.clauses.ctes:
             if cte.recursive:
                 names = f"({', '.join(cte.columns)})" if cte.columns else ""
-                df = self.db.raw(f"WITH RECURSIVE {cte.name}{names} AS ({cte.body} UNION ALL {cte.recursive}) SELECT * FROM {cte.name}")
+                step = f"{checked_query(cte.body)} UNION ALL {checked_query(cte.recursive)}"
+                df = self.db.raw(f"WITH RECURSIVE {cte.name}{names} AS ({step}) SELECT * FROM {cte.name}", more=self.ctes)
             else:
-                df = self.db.raw(cte.body) if isinstance(cte.body, str) else cte.body.frame()
+                df = self.db.raw(checked_query(cte.body), more=self.ctes) if isinstance(cte.body, str) else cte.body.frame()
                 df = df.toDF(*cte.columns) if cte.columns else df
             self.ctes[cte.name] = df
-            df.createOrReplaceTempView(cte.name)
 
     def _scan(self) -> DataFrame:
         df = self._table(self.model.table)
@@ -127,10 +131,10 @@ class Compiled:
     def _grouped(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
         c = self.clauses
         keys = [self.resolve(k).alias(last(k)) for k in c.group_by]
-        made = [F.expr(raw) for raw in c.raw_select]
+        made = [self.expr(raw) for raw in c.raw_select]
         hidden = []
         for i, h in enumerate(c.having):
-            column = F.expr(bound(h.sql, h.params)) if isinstance(h, Raw) else h.compare(h.aggregate.build(self.resolve))
+            column = self.expr(bound(h.sql, h.params)) if isinstance(h, Raw) else h.compare(h.aggregate.build(self.resolve))
             hidden.append(column.alias(f"_having_{i}"))
         outputs = [split_alias(s) for s in c.select or ()]
         for name, _ in outputs:
@@ -157,7 +161,7 @@ class Compiled:
                     shown.append(F.col(name))
                 else:
                     shown.append(self.resolve(name).alias(alias) if alias else self.resolve(name))
-            shown += [F.expr(raw) for raw in c.raw_select]
+            shown += [self.expr(raw) for raw in c.raw_select]
             shown += [sub.frame().scalar().alias(alias) for sub, alias in c.subselects]
             if not shown:
                 shown = [F.col(f"{self.model.table}.{n}") for n in self.model.names]
@@ -176,7 +180,7 @@ class Compiled:
 
     def _united(self, df: DataFrame) -> DataFrame:
         for other, keep_all in self.clauses.unions:
-            right = self.db.raw(bound_statement(*other)) if isinstance(other, tuple) else other.frame()
+            right = self.db.raw(bound_statement(checked_query(other[0]), other[1]), more=self.ctes) if isinstance(other, tuple) else other.frame()
             if len(right.columns) != len(df.columns):
                 raise QueryError("the parts of a union have different numbers of columns")
             for a, b in zip(df.schema.fields, right.schema.fields):
@@ -191,7 +195,7 @@ class Compiled:
         keys = []
         for kind, name, descending in self.clauses.order_by:
             grouped = self.clauses.group_by or self.clauses.having
-            column = F.expr(name) if kind == "raw" else F.col(last(name)) if by_output or grouped or last(name) in df.columns and name not in self.model.names else self.resolve(name)
+            column = self.expr(name) if kind == "raw" else F.col(last(name)) if by_output or grouped or last(name) in df.columns and name not in self.model.names else self.resolve(name)
             keys.append(ordering(column, descending))
         return df.orderBy(*keys) if keys else df
 
@@ -218,7 +222,7 @@ class Compiled:
         return self.frame()
 
     def distinct_values(self, column: str) -> DataFrame:
-        keys = [ordering(F.expr(n) if k == "raw" else self.resolve(n), d) for k, n, d in self.clauses.order_by]
+        keys = [ordering(self.expr(n) if k == "raw" else self.resolve(n), d) for k, n, d in self.clauses.order_by]
         first = Window.partitionBy(self.resolve(column)).orderBy(*keys)
         df = self.rows().withColumn("_nth", F.row_number().over(first)).where("_nth = 1").orderBy(*keys)
         return self._cut(df).select(self.resolve(column).alias(last(column)))

@@ -18,11 +18,12 @@ from brindle.functions.coerce import literal
 
 @dataclass(frozen=True)
 class Scope:
-    """What names mean inside a query: ``column(name)`` and ``kind(name)`` for its type, ``is_json(name)``."""
+    """What names mean inside a query: ``column(name)`` and ``kind(name)`` for its type, ``is_json(name)``; and ``expr(sql)`` for fragments."""
 
     column: Callable[[str], Column]
     kind: Callable[[str], T.DataType | None]
     is_json: Callable[[str], bool]
+    expr: Callable[[str], Column] = F.expr
 
 
 def _needs_value(value) -> None:
@@ -178,7 +179,7 @@ class Raw:
     params: tuple = ()
 
     def build(self, scope: Scope) -> Column:
-        return F.expr(bound(self.sql, self.params))
+        return scope.expr(bound(self.sql, self.params))
 
     def excludes_nothing(self) -> bool:
         return bool(re.fullmatch(r"\s*\(*\s*(true|1\s*=\s*1)\s*\)*\s*", self.sql, re.I))
@@ -200,6 +201,64 @@ class Group:
         return not self.members or test(m.excludes_nothing() for m in self.members)
 
 
+@dataclass(frozen=True)
+class InQuery:
+    """A column's value is among the rows of a query of one column. Kept out, by SQL's NULLs: a NULL among them leaves no row."""
+
+    name: str
+    query: object
+    keep: bool = True
+
+    def build(self, scope: Scope) -> Column:
+        found = scope.column(self.name).isin(self.query.frame())
+        return found if self.keep else ~found
+
+    def excludes_nothing(self) -> bool:
+        return False
+
+
+@dataclass(frozen=True)
+class Exists:
+    """A query has rows; with ``foreign`` and ``local``, rows whose column ``foreign`` is the outer row's ``local``."""
+
+    query: object
+    keep: bool = True
+    foreign: str | None = None
+    local: str | None = None
+
+    def build(self, scope: Scope) -> Column:
+        frame = self.query.frame()
+        if self.foreign:
+            frame = frame.where(F.col(self.foreign) == scope.column(self.local).outer())
+        return frame.exists() if self.keep else ~frame.exists()
+
+    def excludes_nothing(self) -> bool:
+        return False
+
+
+@dataclass(frozen=True)
+class Related:
+    """A table, by its name, has a row whose column ``foreign`` is the outer row's ``local`` and that meets ``condition``, a column and its value."""
+
+    db: object
+    table: str
+    foreign: str
+    local: str
+    condition: tuple = ()
+    keep: bool = True
+
+    def build(self, scope: Scope) -> Column:
+        frame = self.db.table(self.table)
+        if self.condition:
+            column, value = self.condition
+            frame = frame.where(F.col(column).isNull() if value is None else F.col(column) == literal(value, frame.schema[column].dataType))
+        found = frame.where(F.col(self.foreign) == scope.column(self.local).outer()).exists()
+        return found if self.keep else ~found
+
+    def excludes_nothing(self) -> bool:
+        return False
+
+
 @dataclass(frozen=True)
 class Built:
     """A condition that makes its column itself."""
@@ -223,27 +282,48 @@ def pieces(sql: str) -> list[tuple[str, str]]:
     return [p for p in [*out, ("code", sql[at:])] if p[1]]
 
 
-#: Words that a fragment of an expression may not hold outside quotes.
+#: Words that begin or join statements: an expression may not hold one outside parentheses, unless it is a call.
 REFUSED = frozenset("insert update delete drop alter create truncate grant revoke merge union intersect except into".split())
+#: Words that a raw query may not hold outside parentheses, unless it is a call.
+REFUSED_IN_QUERIES = frozenset("insert update delete drop alter create truncate returning merge replace upsert grant revoke call execute values".split())
 
 
-def checked(sql: str) -> str:
-    """The fragment, if it is an expression by its form: no comments, no statement ends, no statements or set operations at the top."""
-    depth = 0
+def _outer_words(sql: str) -> list[tuple[str, bool]]:
+    """The lower-case words outside quotes and parentheses, and whether each is a call; raises what no fragment may have."""
+    depth, found = 0, []
     for kind, text in pieces(sql):
         if kind == "comment":
             raise QueryError("comments are not allowed in a fragment")
         if kind == "code":
             if ";" in text or text.count("'") or text.count('"'):
                 raise QueryError("a fragment is one expression, with its quotes closed")
-            for word in re.findall(r"[A-Za-z_]+|[()]", text):
-                depth += (word == "(") - (word == ")")
+            for m in re.finditer(r"[A-Za-z_]\w*|[()]", text):
+                depth += (m[0] == "(") - (m[0] == ")")
                 if depth < 0:
                     raise QueryError("a fragment's parentheses must match")
-                if depth == 0 and word.lower() in REFUSED:
-                    raise QueryError(f"{word.upper()} is not allowed in a fragment")
+                if depth == 0 and m[0] != ")":
+                    found.append((m[0].lower(), text[m.end() :].lstrip().startswith("(")))
     if depth:
         raise QueryError("a fragment's parentheses must match")
+    return found
+
+
+def checked(sql: str) -> str:
+    """The fragment, if it is an expression by its form: no comments, no statement ends, no statements or set operations at the top."""
+    for word, called in _outer_words(sql):
+        if word in REFUSED and not called:
+            raise QueryError(f"{word.upper()} is not allowed in a fragment")
+    return sql
+
+
+def checked_query(sql: str, sets: bool = True) -> str:
+    """The raw query, if it is one SELECT (or WITH ... SELECT) by its form; ``sets``: whether it may unite others."""
+    words = _outer_words(sql)
+    if not words or words[0][0] not in ("select", "with") or all(w != "select" for w, _ in words):
+        raise QueryError("a raw query is a SELECT, or WITH and a SELECT")
+    for word, called in words:
+        if not called and (word in REFUSED_IN_QUERIES or (not sets and word in ("union", "intersect", "except"))):
+            raise QueryError(f"{word.upper()} is not allowed in a raw query")
     return sql
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +26,11 @@ _BOUNDS = {UNBOUNDED_PRECEDING: Window.unboundedPreceding, CURRENT_ROW: Window.c
 
 @dataclass(frozen=True)
 class WindowColumn:
-    """A function over a window, under an alias. ``make`` gets the resolver of names."""
+    """A function over a window, under an alias. ``make`` gets the resolver of names; ``says`` is the function and its arguments."""
 
     alias: str
-    make: Callable[[Callable[[str], Column]], Column]
+    make: Callable[[Callable[[str], Column]], Column] = field(compare=False)
+    says: tuple = ()
     partition: tuple[str, ...] = ()
     order: tuple[tuple[str, bool], ...] = ()
     frame_unit: str | None = None
@@ -76,50 +77,50 @@ def ordering(column: Column, descending: bool) -> Column:
 
 
 def _plain(name: str):
-    return lambda alias: WindowColumn(alias, lambda _: getattr(F, name)(), ranked=True)
+    return lambda alias: WindowColumn(alias, lambda _: getattr(F, name)(), (name,), ranked=True)
 
 
 row_number, rank, dense_rank, percent_rank, cume_dist = (_plain(n) for n in ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist"))
 
 
 def ntile(alias: str, buckets: int) -> WindowColumn:
-    return WindowColumn(alias, lambda _: F.ntile(buckets), ranked=True)
+    return WindowColumn(alias, lambda _: F.ntile(buckets), ("ntile", buckets), ranked=True)
 
 
 def lag(alias: str, column: str, offset: int = 1, default=None) -> WindowColumn:
-    return WindowColumn(alias, lambda r: F.lag(r(column), offset, default), ranked=True)
+    return WindowColumn(alias, lambda r: F.lag(r(column), offset, default), ("lag", column, offset, default), ranked=True)
 
 
 def lead(alias: str, column: str, offset: int = 1, default=None) -> WindowColumn:
-    return WindowColumn(alias, lambda r: F.lead(r(column), offset, default), ranked=True)
+    return WindowColumn(alias, lambda r: F.lead(r(column), offset, default), ("lead", column, offset, default), ranked=True)
 
 
 def lag_with_raw_default(alias: str, column: str, offset: int, default: str) -> WindowColumn:
-    return WindowColumn(alias, lambda _: F.expr(f"lag({column}, {offset}, {default})"), ranked=True)
+    return WindowColumn(alias, lambda _: F.expr(f"lag({column}, {offset}, {default})"), ("raw lag", column, offset, default), ranked=True)
 
 
 def lead_with_raw_default(alias: str, column: str, offset: int, default: str) -> WindowColumn:
-    return WindowColumn(alias, lambda _: F.expr(f"lead({column}, {offset}, {default})"), ranked=True)
+    return WindowColumn(alias, lambda _: F.expr(f"lead({column}, {offset}, {default})"), ("raw lead", column, offset, default), ranked=True)
 
 
 def first_value(alias: str, column: str) -> WindowColumn:
-    return WindowColumn(alias, lambda r: F.first_value(r(column)))
+    return WindowColumn(alias, lambda r: F.first_value(r(column)), ("first_value", column))
 
 
 def last_value(alias: str, column: str) -> WindowColumn:
-    return WindowColumn(alias, lambda r: F.last_value(r(column)))
+    return WindowColumn(alias, lambda r: F.last_value(r(column)), ("last_value", column))
 
 
 def nth_value(alias: str, column: str, n: int) -> WindowColumn:
-    return WindowColumn(alias, lambda r: F.nth_value(r(column), n))
+    return WindowColumn(alias, lambda r: F.nth_value(r(column), n), ("nth_value", column, n))
 
 
 def aggregate(alias: str, name: str, column: str | None = None) -> WindowColumn:
     """sum, avg, count, min or max over a frame; a sum of no rows stays NULL."""
     if name not in ("sum", "avg", "count", "min", "max"):
         raise QueryError(f"no window aggregate {name!r}")
-    return WindowColumn(alias, lambda r: getattr(F, name)(r(column) if column else F.lit(1)))
+    return WindowColumn(alias, lambda r: getattr(F, name)(r(column) if column else F.lit(1)), (name, column))
 
 
 def custom(alias: str, expression: str) -> WindowColumn:
-    return WindowColumn(alias, lambda _: F.expr(expression))
+    return WindowColumn(alias, lambda _: F.expr(expression), ("custom", expression))

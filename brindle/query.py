@@ -8,17 +8,15 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
 
 from brindle.errors import NotFound, QueryError
-from brindle.functions.coerce import coerce
 from brindle.model import Attribute, Model
 from brindle.plans import windows as W
 from brindle.plans.aggregates import Aggregate, Having
 from brindle.plans.clauses import Clauses, Cte, Join
 from brindle.plans.compile import Compiled
-from brindle.plans.predicates import OPERATORS, Built, Condition, Group, Raw, bound, checked
+from brindle.plans.predicates import OPERATORS, Condition, Exists, Group, InQuery, Raw, Related, bound, checked
 from brindle.sources.database import Database, current
 
 
@@ -206,54 +204,36 @@ class Query(Filters, Alternatives):
     # subqueries
 
     def where_in_subquery(self, column, sub: Query) -> Query:
-        return self._and(Built(lambda s: s.column(name_of(column)).isin(sub.frame())))
+        return self._and(InQuery(name_of(column), sub))
 
     def where_not_in_subquery(self, column, sub: Query) -> Query:
         """NOT IN with SQL's NULLs: a NULL in the subquery leaves no row."""
-        return self._and(Built(lambda s: ~s.column(name_of(column)).isin(sub.frame())))
+        return self._and(InQuery(name_of(column), sub, False))
 
     def where_exists(self, sub: Query) -> Query:
-        return self._and(Built(lambda s: sub.frame().exists()))
+        return self._and(Exists(sub))
 
     def where_not_exists(self, sub: Query) -> Query:
-        return self._and(Built(lambda s: ~sub.frame().exists()))
-
-    def _related(self, frame: Callable[[], DataFrame], foreign: str, local: str, keep: bool) -> Query:
-        def exists(scope) -> Column:
-            outer = scope.column(local).outer()
-            found = frame().where(F.col(foreign) == outer).exists()
-            return found if keep else ~found
-
-        return self._and(Built(exists))
+        return self._and(Exists(sub, False))
 
     def where_has(self, related: Model, foreign_key, local_key, constrain: Callable[[Query], Query] = lambda q: q) -> Query:
         """Rows with a related row; the closure filters it, and trashed ones don't count unless it says so."""
-        return self._related(lambda: constrain(Query(related, self.db)).frame(), _last(foreign_key), name_of(local_key), True)
+        return self._and(Exists(constrain(Query(related, self.db)), True, _last(foreign_key), name_of(local_key)))
 
     def where_doesnt_have(self, related: Model, foreign_key, local_key, constrain: Callable[[Query], Query] = lambda q: q) -> Query:
-        return self._related(lambda: constrain(Query(related, self.db)).frame(), _last(foreign_key), name_of(local_key), False)
-
-    def _has(self, table: str, foreign_key: str, local_key: str, condition: tuple, keep: bool) -> Query:
-        def frame() -> DataFrame:
-            df = self.db.table(table)
-            if not condition:
-                return df
-            column, value = condition
-            return df.where(F.col(column).isNull() if value is None else F.col(column) == F.lit(coerce(value, df.schema[column].dataType)))
-
-        return self._related(frame, foreign_key, name_of(local_key), keep)
+        return self._and(Exists(constrain(Query(related, self.db)), False, _last(foreign_key), name_of(local_key)))
 
     def has_related(self, table: str, foreign_key: str, local_key: str, column: str, value) -> Query:
-        return self._has(table, foreign_key, local_key, (column, value), True)
+        return self._and(Related(self.db, table, foreign_key, name_of(local_key), (column, value)))
 
     def has_no_related(self, table: str, foreign_key: str, local_key: str, column: str, value) -> Query:
-        return self._has(table, foreign_key, local_key, (column, value), False)
+        return self._and(Related(self.db, table, foreign_key, name_of(local_key), (column, value), False))
 
     def has_any_related(self, table: str, foreign_key: str, local_key: str) -> Query:
-        return self._has(table, foreign_key, local_key, (), True)
+        return self._and(Related(self.db, table, foreign_key, name_of(local_key)))
 
     def has_no_related_at_all(self, table: str, foreign_key: str, local_key: str) -> Query:
-        return self._has(table, foreign_key, local_key, (), False)
+        return self._and(Related(self.db, table, foreign_key, name_of(local_key), (), False))
 
     # projection and joins
 
@@ -376,6 +356,10 @@ class Query(Filters, Alternatives):
             query = query.order_by(word, direction.strip() or ("desc" if part[0] == "-" else "asc"))
         return query
 
+    def reverse(self) -> Query:
+        """The same order the other way round."""
+        return self._with(order_by=tuple((kind, name, not descending) for kind, name, descending in self.clauses.order_by))
+
     def reorder(self, column, direction: str = "asc") -> Query:
         return self._with(order_by=()).order_by(column, direction)
 
@@ -451,8 +435,12 @@ class Query(Filters, Alternatives):
 
     # cache
 
-    def cache_for(self, seconds: float, key: str = "") -> Query:
-        return self._with(cache=(seconds, key))
+    def cache_for(self, seconds: float, key: str = "", tags: Sequence[str] = ()) -> Query:
+        """Keep the result for a while, under all that the query says (and ``key``); tags drop it by name."""
+        return self._with(cache=(seconds, key, tuple(tags)))
+
+    def cache_with_key(self, key: str, seconds: float) -> Query:
+        return self.cache_for(seconds, key)
 
     def no_cache(self) -> Query:
         return self._with(cache=None)
@@ -588,69 +576,94 @@ class Query(Filters, Alternatives):
                 query = query.order_asc(f"{self.model.table}.{key}")
         return Page(query.page(page, per_page).frame().collect(), self.count(), page, per_page)
 
-    def _keyset(self, after) -> Query:
-        c = self.clauses
+    def _keyset(self, after=None, inclusive: bool = False) -> Query:
+        """The query in the order of its key, from ``after`` on. An order of its own must be by the key, in one direction."""
+        c, keys = self.clauses, [f"{self.model.table}.{k}" for k in self.model.primary_key]
         if c.offset is not None or c.unions or c.group_by or c.having or c.windows or c.distinct:
             raise QueryError("batches by key go with filters and joins only")
-        if not self.model.primary_key:
+        if not keys:
             raise QueryError(f"{self.model.table} has no primary key")
-        query = self._with(order_by=())
-        keys = [f"{self.model.table}.{k}" for k in self.model.primary_key]
+        if c.select is not None and not set(self.model.primary_key) <= {s.split(".")[-1] for s in c.select}:
+            raise QueryError("batches by key need the key among the selected columns")
+        order = [(kind, _last(name), descending) for kind, name, descending in c.order_by]
+        descending = bool(order) and order[0][2]
+        if order and order != [("column", k, descending) for k in self.model.primary_key]:
+            raise QueryError("batches by key can be ordered by the key only, in one direction")
+        query, beyond = self._with(order_by=()), "lt" if descending else "gt"
         if after is not None:
             options = []
             for i, key in enumerate(keys):  # (a, b) > (x, y) as a > x or (a = x and b > y)
-                options.append(Group(False, (*(Condition(k, "eq", (v,)) for k, v in zip(keys[:i], after)), Condition(key, "gt", (after[i],)))))
+                options.append(Group(False, (*(Condition(k, "eq", (v,)) for k, v in zip(keys[:i], after)), Condition(key, beyond, (after[i],)))))
+            if inclusive:
+                options.append(Group(False, tuple(Condition(k, "eq", (v,)) for k, v in zip(keys, after))))
             query = query._and(Group(True, tuple(options)))
         for key in keys:
-            query = query.order_asc(key)
+            query = query.order_by(key, "desc" if descending else "asc")
         return query
 
     def cursor_page(self, per_page: int, cursor: str | None = None) -> Query:
         """The keyset query of a page: the rows after the cursor, in the order of the primary key."""
         if self.clauses.limit is not None:
             raise QueryError("a cursor page has its own limit")
-        after = None
-        if cursor is not None:
-            try:
-                after = json.loads(base64.urlsafe_b64decode(cursor.encode() + b"=" * (-len(cursor) % 4)))
-            except ValueError:
-                raise QueryError("the cursor is not one of this query") from None
-            if not isinstance(after, list) or len(after) != len(self.model.primary_key):
-                raise QueryError("the cursor is not one of this query")
-        return self._keyset(after).limit(per_page)
+        return self._keyset(*(self._cursor(cursor) or ())).limit(per_page)
+
+    def _cursor(self, cursor: str | None) -> tuple[list, bool] | None:
+        """The key that a cursor names, and whether the page starts at it. A bare key is one to start after."""
+        if cursor is None:
+            return None
+        try:
+            found = json.loads(base64.urlsafe_b64decode(cursor.encode() + b"=" * (-len(cursor) % 4)))
+        except ValueError:
+            found = None
+        if isinstance(found, list) and len(found) == 2 and isinstance(found[0], list) and isinstance(found[1], bool):
+            key, inclusive = found
+        else:
+            key, inclusive = found, False
+        if not isinstance(key, list) or len(key) != len(self.model.primary_key) or not all(isinstance(v, (str, int, float)) for v in key):
+            raise QueryError("the cursor is not one of this query")
+        return key, inclusive
 
     def cursor_paginate(self, per_page: int, cursor: str | None = None) -> CursorPage:
-        rows = self.cursor_page(per_page + 1, cursor).frame().collect()
-        items = rows[:per_page]
-        if len(rows) <= per_page:
-            return CursorPage(items, None)
-        key = json.dumps([items[-1][k] for k in self.model.primary_key], default=str)
-        return CursorPage(items, base64.urlsafe_b64encode(key.encode()).decode().rstrip("="))
+        """A page of rows by key. The rows that a join makes of one key are on one page; a full page at the very end is
+        followed by an empty one."""
+        if self.clauses.limit is not None:
+            raise QueryError("a cursor page has its own limit")
+        for rows, after in self._batches(per_page, self._cursor(cursor)):
+            if after is None:
+                return CursorPage(rows, None)
+            return CursorPage(rows, base64.urlsafe_b64encode(json.dumps(after, default=str).encode()).decode().rstrip("="))
+        return CursorPage([], None)
 
     def chunks(self, size: int) -> Iterator[list[Row]]:
-        """Batches of rows by key. The rows that a join makes of one key stay in one batch; limit() bounds all."""
+        """Batches of rows by key, ascending or as the query is ordered by its key. The rows that a join makes of one key
+        stay in one batch, so a key with more rows than a batch holds is an error; limit() bounds all."""
+        return (rows for rows, _ in self._batches(size, None))
+
+    def _batches(self, size: int, cursor: tuple | None) -> Iterator[tuple[list[Row], tuple | None]]:
+        """Batches, each with the cursor that goes on after it, if rows may follow."""
         if size < 1:
             raise QueryError("a batch has a row at least")
-        left, after = self.clauses.limit, None
+        left, base = self.clauses.limit, self._with(limit=None)
+        base._keyset()
+        key = lambda r: [r[k] for k in self.model.primary_key]
         while left is None or left > 0:
             want = size if left is None else min(size, left)
-            base = self._with(limit=None)._keyset(after)
-            rows = base.limit(want + 1).frame().collect()
-            key = lambda r: [r[k] for k in self.model.primary_key]
-            more = len(rows) > want
-            if more and self.clauses.joins and key(rows[want]) == key(rows[want - 1]):
-                last = key(rows[-1])
-                kept = [r for r in rows if key(r) != last]
-                same = self._with(limit=None, order_by=())._by_key(last).frame().collect() if not kept else []
-                rows = kept or same
-            else:
-                rows = rows[:want]
+            rows = base._keyset(*(cursor or ())).limit(want).frame().collect()
             if not rows:
                 return
-            yield rows
+            full, last, inclusive = len(rows) == want, key(rows[-1]), False
+            if full and self.clauses.joins and (left is None or left > want):
+                whole = [r for r in rows if key(r) != last]
+                if whole:
+                    rows, inclusive = whole, True
+                else:
+                    rows = base._with(order_by=())._by_key(last).limit(size + 1).frame().collect()
+                    if len(rows) > size:
+                        raise QueryError(f"more rows have the key {last} than a batch of {size} holds")
             left = None if left is None else left - len(rows)
-            after = key(rows[-1])
-            if not more:
+            cursor = (last, inclusive) if full and (left is None or left > 0) else None
+            yield rows, cursor
+            if cursor is None:
                 return
 
     def chunk(self, size: int, callback: Callable[[list[Row]], None]) -> None:
@@ -699,6 +712,14 @@ class Query(Filters, Alternatives):
 
         return Search(self, names_of(columns), text)
 
+    def projection_outputs(self) -> list[str]:
+        """The names of the columns that the query returns, without running it."""
+        return self.frame().columns
+
+    def preview(self) -> str:
+        """The query as Spark has analysed it, without running it: one relational operator a line."""
+        return self.frame()._jdf.queryExecution().analyzed().toString()
+
     def debug(self) -> dict:
         """The clauses by name, where they are set."""
         empty = Clauses()

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from brindle.errors import QueryError
+from brindle.plans.predicates import pieces
+from brindle.sources.result_cache import ResultCache
 
+_numbers = count()
 _current: ContextVar[Database | None] = ContextVar("database", default=None)
 
 
@@ -26,7 +31,8 @@ class Database:
 
     def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.root, self.tables = spark, root.rstrip("/") if root else None, dict(tables or {})
-        self.cache: dict = {}
+        self.number, self.cache, self._views = next(_numbers), ResultCache(), count()
+        self._files: set[str] | None = None
 
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
@@ -41,8 +47,50 @@ class Database:
 
     def forget(self, name: str) -> None:
         """Drop cached results that read the table."""
-        for key in [k for k, (df, tables, _) in self.cache.items() if name in tables]:
-            self.cache.pop(key)[0].unpersist()
+        self.cache.invalidate_table(name)
+
+    def drop(self, name: str) -> None:
+        """Take a table that was put here away."""
+        self.tables.pop(name, None)
+        self.forget(name)
+
+    # transactions: what a handle holds is a set of immutable frames, so a snapshot of it is all that a rollback needs
+
+    @contextmanager
+    def transaction(self):
+        """Changes made inside hold together: an error takes back all of them. A transaction inside another is a savepoint."""
+        before = dict(self.tables)
+        try:
+            yield self
+        except BaseException:
+            self.rollback(before)
+            raise
+
+    def rollback(self, before: dict[str, DataFrame]) -> None:
+        for name in {*self.tables, *before}:
+            if self.tables.get(name) is not before.get(name):
+                self.forget(name)
+        self.tables = before
+
+    def atomically(self, work: Callable[[Database], object], retries: int = 0, on: type[Exception] | tuple = ()):
+        """The result of ``work`` in a transaction, tried again up to ``retries`` times after errors of the kinds ``on``."""
+        for left in range(retries, -1, -1):
+            try:
+                with self.transaction():
+                    return work(self)
+            except on or ():
+                if not left:
+                    raise
+        raise AssertionError("unreachable")
+
+    @contextmanager
+    def test_transaction(self):
+        """A transaction that is always taken back."""
+        before = dict(self.tables)
+        try:
+            yield self
+        finally:
+            self.rollback(before)
 
     def save(self, name: str, path: str, mode: str = "error", partition_by: Sequence[str] = ()) -> None:
         self.table(name).write.mode(mode).partitionBy(*partition_by).parquet(path)
@@ -61,11 +109,10 @@ class Database:
 
     # raw SQL
 
-    def raw(self, sql: str, params: Sequence | dict | None = None, schema: str | T.StructType | None = None) -> DataFrame:
-        """The rows of a statement. ``?`` or ``:name`` take params; a schema casts and orders the columns."""
-        for name in self._named(sql):
-            self.table(name).createOrReplaceTempView(name)
-        df = self.spark.sql(sql, args=params or None)
+    def raw(self, sql: str, params: Sequence | dict | None = None, schema: str | T.StructType | None = None, more: dict[str, DataFrame] | None = None) -> DataFrame:
+        """The rows of a statement. ``?`` or ``:name`` take params; a schema casts and orders the columns; ``more`` are
+        frames that the statement may name beside this handle's tables."""
+        df = self.spark.sql(self.local(sql, more), args=params or None)
         if schema is None:
             return df
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -78,22 +125,60 @@ class Database:
         return self.raw(sql, params, model.schema)
 
     def execute(self, sql: str, params: Sequence | dict | None = None) -> int:
-        """Run a statement that the session's catalogue supports; the affected rows if it tells them, else 0."""
-        rows = self.spark.sql(sql, args=params or None).collect()
-        return int(rows[0][0]) if rows and isinstance(rows[0][0], int) else 0
-
-    def _named(self, sql: str) -> list[str]:
-        import re
-
-        words = set(re.findall(r"[A-Za-z_]\w*", sql))
-        found = [t for t in self.tables if t in words]
-        if self.root is not None:
-            views = {t.name for t in self.spark.catalog.listTables()}
-            for m in re.finditer(r"\b(?:from|join)\s+([A-Za-z_]\w*)", sql, re.I):
-                name = m[1]
-                if name not in found and (name not in views or self._exists(name)) and self._exists(name):
-                    found.append(name)
-        return found
+        """Run a statement that the session's catalogue supports; the affected rows if it tells them, else 0. Rows that a
+        query returns are counted, not collected."""
+        df = self.spark.sql(self.local(sql), args=params or None)
+        if re.match(r"\s*(select|with|values|table|from)\b", sql, re.I):
+            return df.count()
+        row = df.first() if df.columns else None
+        return int(row[0]) if row and isinstance(row[0], int) else 0
+
+    def named(self, sql: str, more: Sequence[str] = ()) -> list[str]:
+        """The tables of this handle that a statement may name: its words outside quotes that are names of tables."""
+        words = {w for kind, text in pieces(sql) if kind == "code" or text.startswith("`") for w in re.findall(r"(?<![.\w])[A-Za-z_]\w*", text)}
+        return sorted(w for w in words if w in self.tables or w in more or w in self._stored())
+
+    def local(self, sql: str, more: dict[str, DataFrame] | None = None) -> str:
+        """The statement with a common table for each of this handle's tables that it names: they come before all that the
+        session has under the same names, and leave nothing behind under those. Each stands for a view with a name of its own."""
+        more = more or {}
+        own = re.findall(r"(?:\bwith(?:\s+recursive)?|,)\s+([A-Za-z_]\w*)\s*(?:\([^()]*\))?\s+as\s*\(", sql, re.I)
+        listed = [f"{name} AS (SELECT * FROM {self._view(more[name] if name in more else self.table(name))})" for name in self.named(sql, tuple(more)) if name not in own]
+        if not listed:
+            return sql
+        made = ", ".join(listed)
+        head = re.match(r"(\s*with\s+)(recursive\s+)?", sql, re.I)
+        if head:
+            return f"WITH {head[2] or ''}{made}, {sql[head.end() :]}"
+        if re.match(r"\s*(create|replace)\b", sql, re.I):
+            return re.sub(r"\bAS\s+(?=select\b|\()", lambda m: f"AS WITH {made} ", sql, count=1, flags=re.I)
+        return f"WITH {made} {sql}" if re.match(r"\s*(\(|select|from|values|table|insert|delete|update|merge)", sql, re.I) else sql
+
+    def local_fragment(self, sql: str, more: dict[str, DataFrame] | None = None) -> str:
+        """An expression whose subqueries read this handle's tables."""
+        if not re.search(r"\(\s*select\b", sql, re.I):
+            return sql
+        return "".join(re.sub(r"\((\s*)(?=select\b)", lambda m: "(" + self._prefix(sql, more), text, flags=re.I) if kind == "code" else text for kind, text in pieces(sql))
+
+    def _prefix(self, sql: str, more: dict[str, DataFrame] | None) -> str:
+        made = self.local("SELECT " + " ".join(self.named(sql, tuple(more or ()))), more)
+        return made[: made.rindex("SELECT ")]
+
+    def _view(self, df: DataFrame) -> str:
+        name = f"brindle_{self.number}_{next(self._views)}"
+        df.createOrReplaceTempView(name)
+        return name
+
+    def _stored(self) -> set[str]:
+        """Names of the tables in the folder, listed once."""
+        if self._files is None:
+            self._files = set()
+            if self.root is not None:
+                jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+                path = jvm.org.apache.hadoop.fs.Path(self.root)
+                names = [f.getPath().getName() for f in path.getFileSystem(conf).listStatus(path)]
+                self._files = {n[: -len(".parquet")] for n in names if n.endswith(".parquet")}
+        return self._files
 
     def _exists(self, name: str) -> bool:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -103,10 +188,10 @@ class Database:
     # catalogue
 
     def table_names(self) -> list[str]:
-        return sorted({*self.tables, *(t.name for t in self.spark.catalog.listTables() if t.tableType != "TEMPORARY")})
+        return sorted({*self.tables, *self._stored(), *(t.name for t in self.spark.catalog.listTables() if t.tableType != "TEMPORARY")})
 
     def views(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables() if t.tableType in ("VIEW", "TEMPORARY"))
+        return sorted(t.name for t in self.spark.catalog.listTables() if t.tableType in ("VIEW", "TEMPORARY") and not t.name.startswith("brindle_"))
 
     def columns(self, name: str) -> list[tuple[str, str, bool]]:
         return [(f.name, f.dataType.simpleString(), f.nullable) for f in self.table(name).schema.fields]

@@ -45,7 +45,7 @@ EVENTS = Model("events", "event_id bigint, ts timestamp_ntz, user_id bigint, eve
 DOCUMENTS = Model("documents", "doc_id bigint, text string, lang string, source string, n_chars bigint", ("doc_id",))
 CONVERSATIONS = Model("conversations", "conv_id bigint, turn bigint, role string, text string", ("conv_id", "turn"))
 
-#: Events as a model with soft delete: a view stamps every seventh as trashed (see catalogue.with_views).
+#: Events as a model with soft delete: a view stamps every seventh as trashed (see catalogue.VIEWS).
 TRASHABLE = Model("trashable", "event_id bigint, user_id bigint, event_type string, value double, deleted_at timestamp_ntz", ("event_id",), soft_delete="deleted_at")
 #: Events with nulls and an array, from the same view.
 SPARSE = Model("sparse", "event_id bigint, user_id bigint, kind string, amount double, tags array<string>, doc string", ("event_id",), json=frozenset({"doc"}))
@@ -59,3 +59,10 @@ NOTED = Model(
     ("c_custkey",),
     relations={"notes": Relation("morph_many", lambda: NOTES, "c_custkey", "owner_id", morph=("owner_type", "customer")), "first_note": Relation("morph_one", lambda: NOTES, "c_custkey", "owner_id", morph=("owner_type", "customer"))},
 )
+#: The same notes with the way back to their owners.
+OPEN_NOTES = Model(
+    "notes",
+    "note_id bigint, owner_type string, owner_id bigint, body string",
+    ("note_id",),
+    relations={"owner": Relation("morph_to", lambda: (CUSTOMER, SUPPLIER), "owner_id", morph=("owner_type", None))},
+)
