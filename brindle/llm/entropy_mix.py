@@ -17,25 +17,44 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def exact(terms: Column) -> Column:
+    """A sum that is the same in any order, so that reruns agree."""
+    return F.sum(terms.cast("decimal(38,8)")).cast("double")
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ``nth``, their number from 0 in the order of a distinct key: a range partition each is numbered for itself, and
+    starts after the rows of those before it. Only the partitions' row counts reach the driver."""
+    ranged = cut(rows.repartitionByRange(key).withColumn("range", F.spark_partition_id()))
+    counts = dict(ranged.groupBy("range").count().collect())
+    starts, at = [], 0
+    for number in sorted(counts):
+        starts.append((number, at))
+        at += counts[number]
+    offsets = rows.sparkSession.createDataFrame(starts, "range int, offset long")
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return ranged.withColumn("inside", inside).join(F.broadcast(offsets), "range").withColumn("nth", F.col("offset") + F.col("inside")).drop("range", "inside", "offset")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """Targets of sources: ``sizes`` has key and total, in whose order of key the weights repeat.
 
     The sources share the sum of all totals by weight; a target stops at ``cap`` times its total and the
     excess goes to the others by weight until none is above. That is the water level L with
-    sum(min(cap * total, L * weight)) = sum(total): in the order of cap * total / weight, a source is full
-    if the level that those before it leave is above its ratio. One row a source is all that meets in
-    one task here.
+    sum(min(cap * total, L * weight)) = sum(total). It is found from below: the level that those leave who are full so far makes
+    more of them full, until none is added; each round is one aggregation over the sources.
     """
-    by_key, everything = Window.orderBy("key"), Window.partitionBy(F.lit(0))
-    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_key) - 1) % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("weight", pick).withColumn("most", F.col("total") * cap).withColumn("ratio", F.col("most") / F.col("weight"))
-    before = Window.orderBy("ratio", "key").rowsBetween(Window.unboundedPreceding, -1)
-    spent, used = F.coalesce(F.sum("most").over(before), F.lit(0.0)), F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = (F.sum("total").over(everything) - spent) / (F.sum("weight").over(everything) - used)
-    rows = rows.withColumn("full", F.col("ratio") < level)
-    spare = F.sum("total").over(everything) - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(everything)
-    open_weight = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(everything)
-    return rows.select("key", "total", F.when(F.col("full"), F.col("most")).otherwise(F.col("weight") * F.try_divide(spare, open_weight)).cast("double").alias("target"))
+    pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
+    rows = numbered(sizes, "key").withColumn("weight", pick).withColumn("most", F.col("total") * float(cap))
+    rows = cut(rows.select("key", "total", "weight", "most", (F.col("most") / F.col("weight")).alias("ratio")))
+    whole, level, full = rows.agg(exact(F.col("total")), exact(F.col("weight"))).first(), 0.0, -1
+    while whole[0]:
+        is_full = F.col("ratio") < level
+        found = rows.agg(F.count(F.when(is_full, 1)), exact(F.when(is_full, F.col("most")).otherwise(0.0)), exact(F.when(is_full, F.col("weight")).otherwise(0.0))).first()
+        if found[0] == full:
+            break
+        full, level = found[0], (whole[0] - found[1]) / (whole[1] - found[2]) if whole[1] > found[2] else float("inf")
+    return rows.select("key", "total", F.when(F.col("ratio") < level, F.col("most")).otherwise(F.col("weight") * level).alias("target"))
 
 
 def tilts(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float, rounds: int) -> DataFrame:
@@ -57,10 +76,12 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float
         .withColumn("lam", F.when(F.col("at_cap"), F.coalesce("hi", F.lit(0.0))).otherwise(0.0))
         .withColumn("done", F.col("at_cap") | F.col("mean_size").isNull() | (F.col("target") <= 0))
     )
-    exact = lambda terms: F.sum(terms.cast("decimal(28,8)")).cast("double")  # noqa: E731  the same in any order, so reruns agree
-    for _ in range(rounds):
-        if state.where("NOT done").isEmpty():
+    for turn in range(rounds + 1):
+        left = state.where("NOT done").count()
+        if not left:
             break
+        if turn == rounds:
+            raise ArithmeticError(f"{left} sources are not at their target after {rounds} rounds")
         x = F.col("size") / F.col("mean_size")
         free = F.exp(F.col("lam") * x)
         tokens = F.col("n") * F.col("size")
@@ -82,19 +103,17 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float, tolerance: float
 
 
 def _copies(key, cells: pd.DataFrame, cap: float) -> pd.DataFrame:
-    """Whole copies for the cells (distinct sizes) of a source, largest size first: each cell gets floor(rate)
-    for all its documents and one more for as many as keep the running token sum next to its target."""
+    """Whole copies for the cells (distinct sizes) of a source, largest size first: each cell gets as many copies as keep
+    the running token sum next to its target, ``base`` for all its documents and one more for ``extra`` of them."""
     cells = cells.sort_values("size", ascending=False)
     wanted = got = 0.0
     base, extra = [], []
     for size, n, rate in zip(cells["size"].tolist(), cells["n"].tolist(), cells["rate"].tolist()):
-        floor = min(math.floor(rate + 1e-9), math.floor(cap))
         wanted += n * size * rate
-        got += n * size * floor
-        more = min(n, max(0, round((wanted - got) / size))) if size and floor + 1 <= cap else 0
-        got += more * size
-        base.append(floor)
-        extra.append(more)
+        copies = min(n * math.floor(cap), max(0, round((wanted - got) / size))) if size else 0
+        got += copies * size
+        base.append(copies // n)
+        extra.append(copies % n)
     return pd.DataFrame({"key": cells["key"], "size": cells["size"], "base": base, "extra": extra, "total": cells["total"], "target": cells["target"], "rate": cells["rate"]})
 
 
@@ -115,17 +134,18 @@ def entropy_mix(
     Returns doc_id, source, size, source_size, target, rate, copies, taken; one row per row of ``docs``. The
     columns in ``keep`` come along in a struct ``kept``, which also tells rows of equal id and size apart.
     Sizes are words. Rates are exponentially tilted by document size as far as a source must shrink or
-    grow (see tilts); rounding keeps each source's token sum within about half of its smallest document
-    of the target. No document gets more than ``cap`` copies. Reruns agree: extra copies go by a hash of
-    the id.
+    grow (see tilts); rounding keeps each source's token sum within half of its smallest document of the target, where
+    the source has enough short documents to make up for its long ones. No document gets more than ``cap`` copies.
+    Reruns agree: extra copies go by a hash of the id. ArithmeticError, if a source is not at its target after ``rounds`` rounds.
 
     Skew: rates depend on (source, size) only, so sums run over that histogram, which grows with the
     number of distinct sizes, not with documents. A cell of the histogram that holds very many documents is split over
     salts of about ``rows_per_salt`` documents at most before documents are ranked in it.
 
-    Defined cases: null text has size 0; sizes of 0 take nothing; a null source is a source of its own
-    and the last in order; sources without words have target 0; equal ids that repeat are documents of
-    their own; an empty table gives no rows; other columns are ignored.
+    Defined cases: null text has size 0; sizes of 0 take nothing; texts count whole, however long; a null source is a
+    source of its own and the last in order; sources without words have target 0; equal ids that repeat are documents of
+    their own, and rows that are equal in all that is kept may change places; an empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     ship(docs.sparkSession)
     key = F.when(F.col(source_col).isNull(), F.lit("t")).otherwise(F.concat(F.lit("s"), F.col(source_col).cast("string")))  # 't' is after every 's...'
