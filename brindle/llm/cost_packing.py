@@ -251,8 +251,10 @@ def cost_packing(
     Groups are made while a partition streams: no shuffle, and memory is bounded by a group and the
     longest document. A lost task repeats its partition alone; the ids of sequences hold its number.
 
-    Defined cases: null and empty texts are a single ``end_id``; rows that repeat are documents of their
-    own, as are null ids; an empty table gives no rows; other columns are ignored.
+    Defined cases: null and empty texts are a single ``end_id``; texts longer than a sequence fill sequences of their own;
+    pieces of equal length go in the order of their start, then of their arrival, and to the first of equally cheap
+    sequences; rows that repeat are documents of their own, as are null ids; an empty table gives no rows; other
+    columns, whatever their names, are ignored.
     """
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.llm.shared import cut, ship, text_of
 
@@ -132,16 +133,19 @@ def _bundle_partition(batches: Iterator[pd.DataFrame], dims: int, n: int, seed:
         yield pd.DataFrame({"lang": lang, "dim": np.arange(dims), "value": vector})
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dims: int = 1024, n: int = 3, seed: int = 5) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", dims: int = 1024, n: int = 3, seed: int = 5, most: int = 2000) -> tuple[list[str], np.ndarray]:
     """Prototypes: for each language the bundle of the bundles of all its documents. Rows without a language or a letter are ignored.
 
     Every partition sends a vector for each language it holds; sums by (language, dimension) reach the
-    driver: languages times ``dims`` numbers, however many documents there are.
+    driver: languages times ``dims`` numbers, however many documents there are. More than ``most`` values of the language
+    column are an error: such a column holds no languages.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_of(F.col(text_col)).alias("text"))
     parts = known.mapInPandas(lambda batches: _bundle_partition(batches, dims, n, seed), "lang string, dim int, value double")
-    sums = parts.groupBy("lang", "dim").agg(F.round(F.sum("value"), 6).alias("value")).toPandas()  # rounded: the order of summing doesn't show
+    sums = parts.groupBy("lang", "dim").agg(F.round(F.sum("value"), 6).alias("value")).limit(most * dims + 1).toPandas()  # rounded: the order of summing doesn't show
+    if len(sums) > most * dims:
+        raise ValueError(f"{lang_col} has more than {most} values")
     if sums.empty:
         return [], np.zeros((0, dims))
     wide = sums.pivot(index="lang", columns="dim", values="value").sort_index()
@@ -162,8 +166,9 @@ def hd_language(
     keep_text: bool = False,
     tell_letters: bool = False,
 ) -> DataFrame:
-    """Language of every whole text: doc_id, lang_pred, score and the columns in ``keep``; one row per row. With
-    ``keep_text`` the text comes along as ``text`` (null: empty), with ``tell_letters`` has_letter says whether it has one.
+    """Language of every whole text: doc_id, lang_pred, score; one row per row. The columns in ``keep`` come along in a
+    struct ``kept``, so that their names can't clash. With ``keep_text`` the text comes along as ``text`` (null: empty), with
+    ``tell_letters`` has_letter says whether it has one.
 
     Letters have random vectors of +1 and -1; an n-gram's vector is the product of its letters' vectors,
     each permuted by its place; a document's is the sum over its n-grams. The language is that of the
@@ -173,7 +178,8 @@ def hd_language(
 
     Defined cases: a text that is null, empty or without a letter, and any text if nothing could be learned,
     is ``und`` with score 0; ties go to the first language in order; repeated rows repeat; an empty table
-    gives no rows; other columns are ignored unless kept.
+    gives no rows; texts count whole, however long (in parts of bounded size); other columns, whatever their names, are
+    ignored unless kept.
     """
     ship(docs.sparkSession)
     langs, prototypes = learn(docs if train is None else docs.where(train), lang_col, text_col, dims, n, seed)
@@ -198,6 +204,11 @@ def hd_language(
             yield out.assign(has_letter=has) if tell_letters else out
         own.forget()
 
-    narrow = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep], text_of(F.col(text_col)).alias("text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in (narrow.schema.fields if keep_text else narrow.schema.fields[:-1])]
-    return narrow.mapInPandas(predict, ", ".join([*fields, "lang_pred string", "score double", *(["has_letter boolean"] if tell_letters else [])]))
+    inner = [f"kept_{i}" for i in range(len(keep))]
+    narrow = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(k) for c, k in zip(keep, inner)], text_of(F.col(text_col)).alias("text"))
+    fields = narrow.schema.fields if keep_text else narrow.schema.fields[:-1]
+    made = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("has_letter", T.BooleanType())] if tell_letters else [])])
+    found = narrow.mapInPandas(predict, made)
+    if not keep:
+        return found
+    return found.select(*[c for c in found.columns if c not in inner], F.struct(*[F.col(k).alias(c) for c, k in zip(keep, inner)]).alias("kept"))

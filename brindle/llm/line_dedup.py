@@ -36,8 +36,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first in its part; the second has at most ``salts`` documents for each hash and settles it.
 
     Defined cases: null and empty texts have one empty line, which is too short to drop; a null id counts
-    as the largest id, and all rows with it as one document; rows that share an id count as one document;
-    an empty table gives no rows; other columns are ignored.
+    as the largest id, and all rows with it as one document; rows that share an id count as one document; of equal keys in
+    a document none goes before another, as they stay or go together; very long texts and lines count whole; an
+    empty table gives no rows; other columns, whatever their names, are ignored.
     """
     text = text_of(F.col(text_col))
     lines = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))

@@ -48,7 +48,8 @@ def op7_omh_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = remainder(F.col("doc_id"), 4) == 2
-    return hd_language(docs.withColumn("held_out", held), ~F.col("held_out"), keep=("held_out",))
+    found = hd_language(docs.select("doc_id", "text", "lang", held.alias("held_out")), ~F.col("held_out"), keep=("held_out",))
+    return found.select("doc_id", "kept.held_out", "lang_pred", "score")
 
 
 def op9_bsi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def token_attribution(
     No shuffle; a task holds a batch of texts and at most about ``out_rows`` rows of results.
 
     Defined cases: null and empty texts have one section of no tokens; empty sections (repeated separators)
-    are kept; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+    are kept; very long texts are encoded whole, one at a time; repeated rows repeat; an empty table gives no rows;
+    other columns, whatever their names, are ignored.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
