@@ -1,8 +1,8 @@
 """From clauses to a DataFrame.
 
 Order: common tables, scan, joins, filters with the soft-delete scope, groups and HAVING, windows, projection,
-distinct, unions, order, offset, limit. Nothing here runs a job: Catalyst sees one declarative plan, so filters
-and columns reach the Parquet scan and a top-k stays a top-k.
+distinct, unions, order, offset, limit. Nothing here runs a job, but for ranks over all rows, whose keys are ranged first:
+Catalyst sees one declarative plan, so filters and columns reach the Parquet scan and a top-k stays a top-k.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ def split_alias(item: str) -> tuple[str, str | None]:
 
 
 class Compiled:
-    def __init__(self, query):
+    def __init__(self, query, dry: bool = False):
+        self.dry = dry
         self.query, self.model, self.db, self.clauses = query, query.model, query.db, query.clauses
         if self.clauses.error:
             raise self.clauses.error
@@ -166,7 +167,7 @@ class Compiled:
             if not shown:
                 shown = [F.col(f"{self.model.table}.{n}") for n in self.model.names]
         for window in c.windows:
-            df, column, _ = window.add(df, resolve)
+            df, column, _ = window.add(df, resolve, self.dry)
             shown = [*shown, column]
         return df.select(*shown)
 

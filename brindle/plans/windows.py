@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.errors import QueryError
+from brindle.sources.lineage import cut
 
 UNBOUNDED_PRECEDING, CURRENT_ROW, UNBOUNDED_FOLLOWING = "unbounded preceding", "current row", "unbounded following"
 
@@ -49,12 +50,17 @@ class WindowColumn:
             raise QueryError(f"no frame unit {unit!r}")
         return replace(self, frame_unit=unit, start=start, end=end)
 
-    def add(self, df: DataFrame, resolve: Callable[[str], Column]) -> tuple[DataFrame, Column, list[str]]:
+    def add(self, df: DataFrame, resolve: Callable[[str], Column], dry: bool = False) -> tuple[DataFrame, Column, list[str]]:
         """df (with helper columns, if any), the window column, and the helpers' names.
 
+        A number or rank over all rows is dealt over tasks (see _spread), but for a dry run. Other functions over all rows
+        meet in one task, as Spark has it: their frames reach across any border.
+
         Spark has no GROUPS frames: the peer group's number (dense_rank over the same window) becomes the
         order of a RANGE frame. Descending nulls come first and ascending ones last, as everywhere here.
         """
+        if not dry and not self.partition and self.order and self.says and self.says[0] in ("row_number", "rank", "dense_rank"):
+            return self._spread(df, resolve)
         keys = [resolve(c) for c in self.partition]
         order = [ordering(resolve(c), d) for c, d in self.order] or [F.lit(1)]
         spec = Window.partitionBy(*keys).orderBy(*order)
@@ -72,6 +78,32 @@ class WindowColumn:
         return numbered, self.make(resolve).over(Window.partitionBy(*keys).orderBy(helper).rangeBetween(start, end)).alias(self.alias), [helper]
 
 
+    def _spread(self, df: DataFrame, resolve: Callable[[str], Column]) -> tuple[DataFrame, Column, list[str]]:
+        """Ranks over all rows without a task that sees all: the distinct values of the order are counted, ranged and written
+        once (keys only, to the checkpoint folder); each range is ranked for itself and starts after the rows of those
+        before it; rows then look up their value's rank. Only the ranges' sums reach the driver."""
+        names = [f"_order_{i}_of_{self.alias}" for i in range(len(self.order))]
+        by = [ordering(F.col(n), d) for n, (_, d) in zip(names, self.order)]
+        df = df.withColumns({n: resolve(c) for n, (c, _) in zip(names, self.order)})
+        keys = cut(df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+        starts, rows, values = [], 0, 0
+        for r in sorted(keys.groupBy("_range").agg(F.sum("_n"), F.count(F.lit(1))).collect()):
+            starts.append((r[0], rows, values))
+            rows, values = rows + r[1], values + r[2]
+        starts = df.sparkSession.createDataFrame(starts, "_range int, _rows long, _values long")
+        inside = Window.partitionBy("_range").orderBy(*by)
+        before = F.coalesce(F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rank = F.col("_rows") + before + 1 if self.says[0] != "dense_rank" else F.col("_values") + F.row_number().over(inside)
+        helper = f"_rank_of_{self.alias}"
+        ranked = keys.join(F.broadcast(starts), "_range").select(*[F.col(n).alias(f"{n}_") for n in names], rank.alias(helper))
+        on = [df[n].eqNullSafe(ranked[f"{n}_"]) for n in names]
+        out = df.join(ranked, on).drop(*[f"{n}_" for n in names])
+        column = F.col(helper)
+        if self.says[0] == "row_number":
+            column = column - 1 + F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+        return out, column.cast("int").alias(self.alias), [*names, helper]
+
+
 def ordering(column: Column, descending: bool) -> Column:
     return column.desc_nulls_first() if descending else column.asc_nulls_last()
 

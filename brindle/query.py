@@ -452,7 +452,7 @@ class Query(Filters, Alternatives):
 
     def validate(self) -> None:
         """Raise the query's first error, or what compiling it finds, without running it."""
-        self.frame()
+        Compiled(self, dry=True).frame()
 
     def frame(self) -> DataFrame:
         """The whole query as a DataFrame."""
@@ -714,11 +714,11 @@ class Query(Filters, Alternatives):
 
     def projection_outputs(self) -> list[str]:
         """The names of the columns that the query returns, without running it."""
-        return self.frame().columns
+        return Compiled(self, dry=True).frame().columns
 
     def preview(self) -> str:
         """The query as Spark has analysed it, without running it: one relational operator a line."""
-        return self.frame()._jdf.queryExecution().analyzed().toString()
+        return Compiled(self, dry=True).frame()._jdf.queryExecution().analyzed().toString()
 
     def debug(self) -> dict:
         """The clauses by name, where they are set."""

@@ -332,3 +332,25 @@ def test_unit_of_work(db):
     one["n"] = 0
     one.undo()
     assert one["n"] == 11 and work.find(ITEMS, 99) is None
+
+
+def test_ranks_over_all_rows_meet_in_no_single_task(db, spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None, (i * 37) % 50 if i % 11 else None) for i in range(500)], ITEMS.schema)
+    wide = Database(spark, tables={"items": rows.repartition(5)})
+    query = Query(ITEMS, wide)
+    for made in (W.rank("w"), W.dense_rank("w"), W.row_number("w")):
+        for up in (True, False):
+            spread = query.window(made.order_by("n", up).order_by("kind", not up).order_by("id"))
+            plain = query.window(made.partition_by("zero").order_by("n", up).order_by("kind", not up).order_by("id"))
+            one = {r["id"]: r["w"] for r in spread.select("id").frame().collect()}
+            zero = Database(spark, tables={"items": rows.withColumn("zero", F.lit(0))})
+            model = Model("items", "id bigint, kind string, n bigint, zero int", ("id",))
+            assert one == {r["id"]: r["w"] for r in Query(model, zero, plain.clauses).select("id").frame().collect()}
+    tied = query.select("id", "n").window(W.rank("r").order_by("n", True)).window(W.dense_rank("d").order_by("n", True)).window(W.row_number("k").order_by("n", True))
+    got = tied.frame().collect()
+    values = [None] * sum(r["n"] is None for r in got) + sorted((r["n"] for r in got if r["n"] is not None), reverse=True)
+    assert sorted(r["k"] for r in got) == list(range(1, 501))
+    assert all(r["r"] == values.index(r["n"]) + 1 and r["d"] == len(dict.fromkeys(values[: values.index(r["n"])])) + 1 for r in got)
+    plan = tied.frame()._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    tied.validate()
