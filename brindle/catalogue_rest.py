@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brindle.catalogue import NOTES_SQL, SPARSE_SQL, TRASHABLE_SQL, _TOKENS, plain, register
+from brindle.functions import secrets
 from brindle.functions import text as X
 from brindle.operators.mutations import insert_all, on_conflict
 from brindle.operators.relations import Eager, Links, MorphTo
@@ -346,6 +347,24 @@ def translations_of_fields(db):
     return shown.select("r_regionkey", "n", "german", F.col("r_name").alias("shown"))
 
 
+@register("SELECT c_custkey, c_custkey AS back, CAST(NULL AS BIGINT) AS other FROM customer")
+def tokens_of_records(db):
+    made = secrets.token(F.col("c_custkey"), CUSTOMER, "a secret")
+    rows = Query(CUSTOMER, db).select("c_custkey").frame().withColumn("token", made)
+    return rows.select("c_custkey", secrets.id_of(F.col("token"), CUSTOMER, "a secret").alias("back"), secrets.id_of(F.col("token"), ORDERS, "a secret").alias("other"))
+
+
+@register("SELECT n_nationkey, n_name AS plain, TRUE AS hidden, TRUE AS lost FROM nation")
+def sealed_columns(db):
+    rows = Query(NATION, db).frame().withColumn("s", secrets.sealed(F.col("n_name"), "k"))
+    return rows.select("n_nationkey", secrets.opened(F.col("s"), "k").alias("plain"), (~F.col("s").contains(F.col("n_name"))).alias("hidden"), secrets.opened(F.col("s"), "other").isNull().alias("lost"))
+
+
+@register("SELECT r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region")
+def rows_as_json(db):
+    return Query(REGION, db).json_rows().select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("r_regionkey"), "json")
+
+
 @register(f"SELECT event_id, amount FROM {SPARSE_SQL} s WHERE kind = 'click'")
 def cached_read(db):
     return Query(SPARSE, db).select("event_id", "amount").where_eq("kind", "click").cache_for(60)._cached()

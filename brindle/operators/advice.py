@@ -51,12 +51,22 @@ def complexity(query) -> int:
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits for queries: rows they may ask for, joins, values of a list, raw fragments."""
+    """Limits for queries: rows they may ask for, joins, values of a list, raw fragments, relations loaded along and their depth.
+    A Database with ``rules`` checks them before every read of rows."""
 
     max_rows: int | None = None
     max_joins: int | None = None
     max_in_values: int | None = None
     forbid_raw: bool = False
+    max_relations: int | None = None
+    max_depth: int | None = None
+
+    def check_paths(self, paths) -> None:
+        """Relations to load, as dotted paths."""
+        if self.max_relations is not None and len({".".join(p.split(".")[: i + 1]) for p in paths for i in range(p.count(".") + 1)}) > self.max_relations:
+            raise QueryError(f"a query may load {self.max_relations} relations at most")
+        if self.max_depth is not None and any(p.count(".") + 1 > self.max_depth for p in paths):
+            raise QueryError(f"relations may be loaded {self.max_depth} deep at most")
 
     def check(self, query) -> None:
         c, listed = query.clauses, conditions(query)

@@ -130,7 +130,9 @@ class Eager:
         return attach(self.query.db, self.query.frame(), self.query.model, tree_of(self.paths), bool(c.where or c.or_where or c.limit is not None))
 
     def get(self) -> list:
-        return self.frame().collect()
+        if self.query.db.rules:
+            self.query.db.rules.check_paths(self.paths)
+        return self.query._rows(self.frame(), "get with relations")
 
     def first(self):
         rows = self.shape(lambda q: q.limit(1)).get()

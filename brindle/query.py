@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from brindle.errors import NotFound, QueryError
 from brindle.model import Attribute, Model
@@ -458,9 +459,20 @@ class Query(Filters, Alternatives):
         """The whole query as a DataFrame."""
         return Compiled(self).frame()
 
+    def _rows(self, df: DataFrame, what: str) -> list[Row]:
+        """Run a terminal: rules are checked before, the journal hears of it."""
+        if self.db.rules:
+            self.db.rules.check(self)
+        if self.db.journal is None:
+            return df.collect()
+        with self.db.journal.timing(self.model.table, what) as told:
+            rows = df.collect()
+            told[0] = len(rows)
+        return rows
+
     def get(self) -> list[Row]:
-        Compiled(self).check_model_columns()
-        return self._cached().collect()
+        Compiled(self, dry=True).check_model_columns()
+        return self._rows(self._cached(), "get")
 
     def _cached(self) -> DataFrame:
         from brindle.operators.cache import remembered
@@ -468,7 +480,12 @@ class Query(Filters, Alternatives):
         return remembered(self) if self.clauses.cache else self.frame()
 
     def get_json(self) -> list[dict]:
-        return [r.asDict(recursive=True) for r in self._cached().collect()]
+        return [r.asDict(recursive=True) for r in self._rows(self._cached(), "get_json")]
+
+    def json_rows(self) -> DataFrame:
+        """Rows as JSON texts, without the model's hidden columns: one column, ``json``."""
+        df = self.frame()
+        return df.select(F.to_json(F.struct(*[c for c in df.columns if c not in self.model.hidden])).alias("json"))
 
     def get_as(self, schema: str) -> DataFrame:
         df = self.frame()
@@ -477,7 +494,8 @@ class Query(Filters, Alternatives):
         return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema).fields])
 
     def first(self) -> Row | None:
-        rows = self.limit(1 if self.clauses.limit is None else min(1, self.clauses.limit)).frame().collect()
+        one = self.limit(1 if self.clauses.limit is None else min(1, self.clauses.limit))
+        rows = one._rows(one.frame(), "first")
         return rows[0] if rows else None
 
     def first_or_fail(self) -> Row:

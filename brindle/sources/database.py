@@ -32,6 +32,8 @@ class Database:
     def __init__(self, spark: SparkSession, root: str | None = None, tables: dict[str, DataFrame] | None = None):
         self.spark, self.root, self.tables = spark, root.rstrip("/") if root else None, dict(tables or {})
         self.number, self.cache, self._views = next(_numbers), ResultCache(), count()
+        self.journal = None  # an operators.journal.Journal hears of every terminal
+        self.rules = None  # operators.advice.Rules that every read must keep
         self._files: set[str] | None = None
 
     def table(self, name: str) -> DataFrame:

@@ -354,3 +354,42 @@ def test_ranks_over_all_rows_meet_in_no_single_task(db, spark):
     plan = tied.frame()._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     tied.validate()
+
+
+def test_secrets(spark):
+    from brindle.functions import secrets
+
+    names = ["0", "-9223372036854775808", "plain", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "v string")
+    for bound in ("User", "", "A" * 1000, "\u7528\u6237"):
+        rows = df.withColumn("t", secrets.sealed(F.col("v"), "key", bound))
+        got = rows.select("v", "t", secrets.opened(F.col("t"), "key", bound).alias("back"), secrets.opened(F.col("t"), "key", bound + "x").alias("none"), secrets.opened(F.concat(F.col("t"), F.lit("AAAA")), "key", bound).alias("bad")).collect()
+        assert [r["back"] for r in got] == names and all(r["none"] is None and r["bad"] is None for r in got)
+        assert all(set(r["t"]) <= set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_") for r in got if r["t"])
+    for junk in ("", "!", "abc", "a" * 5000):
+        assert spark.range(1).select(secrets.opened(F.lit(junk), "key")).first()[0] is None
+    kept = [tuple(r) for r in df.select("v", secrets.hashed(F.col("v"), 10).alias("h")).collect()]
+    checks = spark.createDataFrame([(v, h, w) for v, h in kept for w in ("plain", v)], "v string, h string, w string").select("v", "w", secrets.verified(F.col("w"), F.col("h")).alias("ok")).collect()
+    assert all(r["ok"] == (None if r["v"] is None or r["w"] is None else r["v"] == r["w"]) for r in checks)
+    assert spark.range(1).select(secrets.verified(F.lit("x"), F.lit("no hash"))).first()[0] is False
+
+
+def test_journal_and_rules(db):
+    from brindle.operators.advice import Rules
+    from brindle.operators.journal import Journal
+
+    heard = []
+    db.journal = Journal(slow=0.0, most=2, sink=heard.append)
+    Query(ITEMS, db).get(), Query(ITEMS, db).first(), Query(PARTS, db).with_("item").get()
+    with pytest.raises(Exception):
+        Query(ITEMS, db).where_raw("assert_true(id < 0) IS NULL").get()
+    assert [(r.table, r.rows, r.error is None) for r in heard] == [("items", 6, True), ("items", 1, True), ("parts", 9, True), ("items", None, False)]
+    assert len(db.journal.runs) == 2 and db.journal.counts["items"]["errors"] == 1 and db.journal.slow_runs()
+    db.rules = Rules(max_rows=3, max_depth=1, max_relations=1)
+    with pytest.raises(QueryError):
+        Query(ITEMS, db).get()
+    assert len(Query(ITEMS, db).limit(3).get()) == 3
+    with pytest.raises(QueryError):
+        Query(PARTS, db).limit(1).with_("item", "owner").get()
+    with pytest.raises(QueryError):
+        Query(PARTS, db).limit(1).with_("item.more").get()
