@@ -171,14 +171,15 @@ class Search:
 
     def _matching(self, tokens_too: bool = False) -> DataFrame:
         """Matching rows. Texts that lack a needed word even as a part are left out before anything is split; the others are
-        split once, into ``_tokens_0`` and so on, which match and rank read."""
+        split once, into ``_tokens_0`` and so on, which match and rank read. (A generator of one row holds them: the optimiser
+        would copy a plain projection into every condition.)"""
         df = self.query.frame()
         for word in self._needed():
             held = F.lit(False)
             for c in self.columns:
                 held = held | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(word))
             df = df.where(held)
-        split = df.select("*", *[tokens(F.col(c)).alias(f"_tokens_{i}") for i, c in enumerate(self.columns)])
+        split = df.select("*", F.inline(F.array(F.struct(*[tokens(F.col(c)).alias(f"_tokens_{i}") for i, c in enumerate(self.columns)]))))
         names = [f"_tokens_{i}" for i in range(len(self.columns))]
         found = split.where(self._match(F.concat(*names) if len(names) > 1 else F.col(names[0])))
         return found if tokens_too else found.drop(*names)

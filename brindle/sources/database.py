@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -35,6 +36,7 @@ class Database:
         self.journal = None  # an operators.journal.Journal hears of every terminal
         self.rules = None  # operators.advice.Rules that every read must keep
         self._files: set[str] | None = None
+        self._held: deque[str] = deque()
 
     def table(self, name: str) -> DataFrame:
         if name in self.tables:
@@ -136,16 +138,16 @@ class Database:
         return int(row[0]) if row and isinstance(row[0], int) else 0
 
     def named(self, sql: str, more: Sequence[str] = ()) -> list[str]:
-        """The tables of this handle that a statement may name: its words outside quotes that are names of tables."""
-        words = {w for kind, text in pieces(sql) if kind == "code" or text.startswith("`") for w in re.findall(r"(?<![.\w])[A-Za-z_]\w*", text)}
-        return sorted(w for w in words if w in self.tables or w in more or w in self._stored())
+        """The tables of this handle that a statement may name: its words outside quotes that are names of tables, in any case."""
+        words = {w.lower() for kind, text in pieces(sql) if kind == "code" or text.startswith("`") for w in re.findall(r"(?<![.\w])[A-Za-z_]\w*", text)}
+        return sorted(t for t in {*self.tables, *more, *self._stored()} if t.lower() in words)
 
     def local(self, sql: str, more: dict[str, DataFrame] | None = None) -> str:
         """The statement with a common table for each of this handle's tables that it names: they come before all that the
         session has under the same names, and leave nothing behind under those. Each stands for a view with a name of its own."""
         more = more or {}
-        own = re.findall(r"(?:\bwith(?:\s+recursive)?|,)\s+([A-Za-z_]\w*)\s*(?:\([^()]*\))?\s+as\s*\(", sql, re.I)
-        listed = [f"{name} AS (SELECT * FROM {self._view(more[name] if name in more else self.table(name))})" for name in self.named(sql, tuple(more)) if name not in own]
+        own = {w.lower() for w in re.findall(r"(?:\bwith(?:\s+recursive)?|,)\s+([A-Za-z_]\w*)\s*(?:\([^()]*\))?\s+as\s*\(", sql, re.I)}
+        listed = [f"{name} AS (SELECT * FROM {self._view(more[name] if name in more else self.table(name))})" for name in self.named(sql, tuple(more)) if name.lower() not in own]
         if not listed:
             return sql
         made = ", ".join(listed)
@@ -167,8 +169,12 @@ class Database:
         return made[: made.rindex("SELECT ")]
 
     def _view(self, df: DataFrame) -> str:
+        """A view under a name of its own. A statement is analysed as it is given to Spark, so older views can go."""
         name = f"brindle_{self.number}_{next(self._views)}"
         df.createOrReplaceTempView(name)
+        self._held.append(name)
+        while len(self._held) > 200:
+            self.spark.catalog.dropTempView(self._held.popleft())
         return name
 
     def _stored(self) -> set[str]:
