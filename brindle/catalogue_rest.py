@@ -43,6 +43,11 @@ def where_raw_subqueries(db):
     return Query(CUSTOMER, db).select("c_custkey").where_raw("c_acctbal > (SELECT avg(c_acctbal) FROM customer)").where_raw("EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > ?)", 150000).frame()
 
 
+@register("SELECT r_regionkey AS k, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region WHERE r_regionkey > 1")
+def raw_json(db):
+    return db.raw_json("SELECT * FROM region WHERE r_regionkey > ?", [1]).select(F.get_json_object("json", "$.r_regionkey").cast("int").alias("k"), "json")
+
+
 # joins
 
 

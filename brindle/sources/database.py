@@ -10,6 +10,7 @@ from contextvars import ContextVar
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from brindle.errors import QueryError
@@ -102,6 +103,11 @@ class Database:
     def ping(self) -> bool:
         return self.spark.range(1).count() == 1
 
+    @contextmanager
+    def pin_session(self):
+        """This handle, whose statements all run in one Spark session in any case."""
+        yield self
+
     @contextmanager
     def scope(self):
         """Queries that name no database use this one inside."""
@@ -125,6 +131,11 @@ class Database:
             raise QueryError(f"the statement returns no {', '.join(missing)}")
         return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in wanted.fields])
 
+    def raw_json(self, sql: str, params: Sequence | dict | None = None) -> DataFrame:
+        """The rows of a statement as JSON texts: one column, ``json``."""
+        df = self.raw(sql, params)
+        return df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
+
     def raw_models(self, model, sql: str, params: Sequence | dict | None = None) -> DataFrame:
         return self.raw(sql, params, model.schema)
 
@@ -201,6 +212,19 @@ class Database:
     def views(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables() if t.tableType in ("VIEW", "TEMPORARY") and not t.name.startswith("brindle_"))
 
+    def sequences(self) -> list[str]:
+        """None: keys of new rows are the largest one plus 1 (operators.rows)."""
+        return []
+
+    def enum_types(self) -> list[str]:
+        """None: columns of fixed values are strings, with the rule ``in`` (functions.text)."""
+        return []
+
+    def indexes(self, name: str) -> list[str]:
+        """None: scans skip row groups by Parquet's statistics, and folders by partition columns."""
+        self.table(name)
+        return []
+
     def columns(self, name: str) -> list[tuple[str, str, bool]]:
         return [(f.name, f.dataType.simpleString(), f.nullable) for f in self.table(name).schema.fields]
 

@@ -184,6 +184,15 @@ def test_common_tables_stay_inside_their_query(spark, db):
     assert Query(ITEMS, db).where_raw("id IN (SELECT item_id FROM parts WHERE owner_type = 'bin (select')").count() == 0
 
 
+def test_catalogue_of_a_handle(db):
+    with db.pin_session() as pinned:
+        assert pinned is db and db.sequences() == db.enum_types() == db.indexes("items") == []
+    assert db.raw("SELECT count(*) AS n FROM ITEMS WHERE Items.id > 2").first()["n"] == 4
+    for _ in range(230):
+        db.raw("SELECT 1 FROM items")
+    assert sum(t.name.startswith(f"brindle_{db.number}_") for t in db.spark.catalog.listTables()) <= 200
+
+
 def test_raw_queries_are_checked(db):
     for bad in ("DELETE FROM items", "SELECT 1; SELECT 2", "VALUES (1)", "SELECT 1 RETURNING 2", "WITH x AS (SELECT 1)"):
         with pytest.raises(QueryError):
