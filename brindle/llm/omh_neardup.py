@@ -181,7 +181,7 @@ def near_duplicates(
     sketches: int = 24,
     picks: int = 3,
     min_shared: int = 3,
-    block: int = 600_000,
+    block: int = 400_000,
 ) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id, class_size, n_words; one row per row of ``docs``.
 
