@@ -16,7 +16,7 @@ from brindle.plans.aggregates import avg, count, count_distinct, max_of, min_of,
 from brindle.query import Query
 from brindle.sources.database import Database
 from brindle.streaming.windows import sessions, windowed
-from brindle.tables import CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, NATION, NOTED, NOTES, ORDERS, PART, REGION, SPARSE, SUPPLIER, TRASHABLE, TREE
+from brindle.tables import CUSTOMER, DOCUMENTS, EVENTS, LINEITEM, NATION, NOTED, ORDERS, PART, REGION, SPARSE, SUPPLIER, TRASHABLE, TREE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
