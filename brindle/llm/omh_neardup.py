@@ -182,6 +182,7 @@ def near_duplicates(
     picks: int = 3,
     min_shared: int = 3,
     block: int = 400_000,
+    block_nodes: int = 1024,
 ) -> DataFrame:
     """Classes of near-duplicates: doc_id, class_id, class_size, n_words; one row per row of ``docs``.
 
@@ -197,7 +198,7 @@ def near_duplicates(
        buckets: the original of a group of copies. Of these pairs each node keeps the one that it meets in most
        buckets. They are verified, and linked ones merge.
     4. Only buckets that still hold several components are looked at again, in pairs of blocks of about ``block`` k-mers
-       (or one longer text), each of which a task compares whole: no pair of a bucket that could be a link is
+       (or one longer text) and ``block_nodes`` nodes at most, each of which a task compares whole: no pair of a bucket that could be a link is
        left out. Pairs stay inside the task; it returns links that connect components, fewer than it has nodes.
        A bucket of many texts that don't link is sent once for each of its blocks: the price of comparing all.
 
@@ -268,7 +269,7 @@ def near_duplicates(
     placed = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = placed.groupBy("i", "key").agg((F.min("comp") != F.max("comp")).alias("several")).where("several").select("i", "key")
     rest = cut(placed.join(open_, ["i", "key"]))
-    n_blocks = F.ceil(F.col("kmers") / block).cast("int")
+    n_blocks = F.greatest(F.ceil(F.col("kmers") / block), F.ceil(F.col("size") / block_nodes)).cast("int")
     own = rest.withColumn("own", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
     dealt = own.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1))).withColumns({"lo": F.least("own", "to"), "hi": F.greatest("own", "to")})
 

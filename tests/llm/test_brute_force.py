@@ -201,3 +201,28 @@ def test_components_of_stars_chains_and_cycles(spark):
     for per_task in (100_000, 50):
         assert {r["node"]: r["comp"] for r in components(df, per_task=per_task).collect()} == {x: find(x) for x in list(root)}
     assert components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{"block": 300}, {"block_nodes": 3}, {"block": 2_000, "block_nodes": 4, "min_shared": 1}, {}])
+def test_blocks_lose_no_link(spark, options):
+    """A bucket that all texts share (a long common passage), short texts, and one text far longer than a block."""
+    from brindle.llm.omh_neardup import near_duplicates, words_of
+
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(160)]
+    texts = []
+    for i in range(30):
+        own = [f"o{i}x{j}" for j in range(int(rng.integers(5, 60)))]
+        texts += [" ".join(passage + own), " ".join(passage + own[:-1] + ["end"])]
+    texts += ["one two three four five six seven eight nine", "one two three four five six seven eight", "one two three four", "One two, three four!", "a b", "a b c"]
+    long = [f"w{x}" for x in rng.integers(0, 3000, 6000)]
+    texts += [" ".join(long), " ".join(long[:5990]), " ".join(reversed(long))]
+    kmers = [labelled_kmers(words_of(t), 5) for t in texts]
+    comp = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if comp[i] != comp[j] and aligned_similarity(kmers[i], kmers[j], 0.8):
+                old, new = max(comp[i], comp[j]), min(comp[i], comp[j])
+                comp = [new if c == old else c for c in comp]
+    found = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), **options).collect()}
+    assert found == {i: (c, comp.count(c)) for i, c in enumerate(comp)}
