@@ -142,7 +142,7 @@ def shown(score: int) -> tuple[int, str]:
 
 
 def bsi_topk(
-    vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, block_queries: int = 2_048
+    vectors: DataFrame, query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 65_536, block_queries: int = 512
 ) -> DataFrame:
     """The k rows of highest integer inner product for every row where ``query`` (over vec_id) holds: query_id, rank, vec_id, score.
 
@@ -167,7 +167,7 @@ def bsi_topk(
     stats = rows.agg(F.count("x").alias("n"), F.count("far").alias("n_wide"), F.count(F.when(query, 1)).alias("q")).first()
     n_rows, n_wide = max(1, math.ceil(stats["n"] / block_rows)), math.ceil(stats["n_wide"] / 1024)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
-    n_queries = max(1, math.ceil(stats["q"] / block_queries), min(math.ceil(stats["q"] / 128), math.ceil(2 * cores / n_rows)))
+    n_queries = max(1, math.ceil(stats["q"] / block_queries), min(math.ceil(stats["q"] / 128), math.ceil(cores / n_rows)))
     block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "row"), F.lit(max(1, n))).cast("int")
     dealt = F.when(F.col("far").isNull(), block(19, n_rows)).otherwise(n_rows + block(19, n_wide)).alias("rb")
     index = rows.select("*", dealt, F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
