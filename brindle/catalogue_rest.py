@@ -141,8 +141,7 @@ def cursor_page_joined(db):
 
 @register("SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_suppkey DESC) - 1) / 7) AS BIGINT) AS batch FROM supplier")
 def chunks_desc(db):
-    rows = [(r["s_suppkey"], i) for i, batch in enumerate(Query(SUPPLIER, db).order_desc("s_suppkey").chunks(7)) for r in batch]
-    return db.spark.createDataFrame(rows, "s_suppkey bigint, batch bigint")
+    return Query(SUPPLIER, db).select("s_suppkey").order_desc("s_suppkey").batched(7)
 
 
 # common tables

@@ -7,6 +7,7 @@ import json
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
+from itertools import islice
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -654,30 +655,48 @@ class Query(Filters, Alternatives):
 
     def chunks(self, size: int) -> Iterator[list[Row]]:
         """Batches of rows by key, ascending or as the query is ordered by its key. The rows that a join makes of one key
-        stay in one batch, so a key with more rows than a batch holds is an error; limit() bounds all."""
+        stay in one batch, so a key with more rows than a batch holds is an error; limit() bounds all. See _Ahead for what
+        is read when; batched() has the same batches as a DataFrame."""
         return (rows for rows, _ in self._batches(size, None))
 
+    def batched(self, size: int, alias: str = "batch") -> DataFrame:
+        """The rows of chunks() with the number of their batch, from 0, as a DataFrame: they are numbered in Spark, none
+        comes to the driver. With a join it takes a walk over the runs to tell where a batch ends: such queries have chunks()."""
+        if size < 1:
+            raise QueryError("a batch has a row at least")
+        if self.clauses.joins:
+            raise QueryError("batches of a join are told by chunks() only")
+        base = self._with(limit=None)._keyset()
+        nth = W.row_number("_nth")
+        for _, name, descending in base.clauses.order_by:
+            nth = nth.order_by(name, descending)
+        df = base._with(order_by=()).window(nth).frame()
+        if self.clauses.limit is not None:
+            df = df.where(F.col("_nth") <= self.clauses.limit)
+        if alias in df.columns:
+            raise QueryError(f"the rows have a column {alias}")
+        return df.withColumn(alias, F.floor((F.col("_nth") - 1) / size).cast("bigint")).drop("_nth")
+
     def _batches(self, size: int, cursor: tuple | None) -> Iterator[tuple[list[Row], tuple | None]]:
         """Batches, each with the cursor that goes on after it, if rows may follow."""
         if size < 1:
             raise QueryError("a batch has a row at least")
         left, base = self.clauses.limit, self._with(limit=None)
         base._keyset()
-        key = lambda r: [r[k] for k in self.model.primary_key]
+        ahead = _Ahead(base)
         while left is None or left > 0:
             want = size if left is None else min(size, left)
-            rows = base._keyset(*(cursor or ())).limit(want).frame().collect()
+            rows = ahead.read(want, cursor, left)
             if not rows:
                 return
-            full, last, inclusive = len(rows) == want, key(rows[-1]), False
+            full, last, inclusive = len(rows) == want, ahead.key(rows[-1]), False
             if full and self.clauses.joins and (left is None or left > want):
-                whole = [r for r in rows if key(r) != last]
+                whole = [r for r in rows if ahead.key(r) != last]
                 if whole:
+                    ahead.give_back(rows[len(whole) :])
                     rows, inclusive = whole, True
-                else:
-                    rows = base._with(order_by=())._by_key(last).limit(size + 1).frame().collect()
-                    if len(rows) > size:
-                        raise QueryError(f"more rows have the key {last} than a batch of {size} holds")
+                elif ahead.more_of(last, size):
+                    raise QueryError(f"more rows have the key {last} than a batch of {size} holds")
             left = None if left is None else left - len(rows)
             cursor = (last, inclusive) if full and (left is None or left > 0) else None
             yield rows, cursor
@@ -749,6 +768,47 @@ class Query(Filters, Alternatives):
         return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
 
 
+class _Ahead:
+    """The rows of a query in the order of its key, for batches. The first batch is a job of its own. What follows it is
+    sorted once, and the sort's partitions are read one after the other, so that small batches don't read the tables again
+    and again; the driver holds one partition. A change made through the handle between two batches is seen by the next
+    one, which then is a job of its own again."""
+
+    #: Rows that a limit may leave to be taken without a sort of all.
+    FEW = 1000
+
+    def __init__(self, query: Query):
+        self.query, self.changes, self.rows, self.held = query, None, None, []
+
+    def key(self, row: Row) -> list:
+        return [row[k] for k in self.query.model.primary_key]
+
+    def read(self, n: int, cursor: tuple | None, left: int | None) -> list[Row]:
+        """The next ``n`` rows, which are those from the cursor on."""
+        query, changes = self.query._keyset(*(cursor or ())), self.query.db.changes
+        if self.changes != changes:
+            self.changes, self.rows, self.held = changes, None, []
+            return query.limit(n).frame().collect()
+        if self.rows is None:
+            few = left is not None and left <= self.FEW
+            self.rows = iter((query.limit(left) if few else query).frame().toLocalIterator())
+        rows = [*self.held, *islice(self.rows, n - len(self.held))]
+        self.held = []
+        return rows
+
+    def give_back(self, rows: list[Row]) -> None:
+        """Rows that the next batch begins with."""
+        if self.rows is not None:
+            self.held = rows
+
+    def more_of(self, key: list, n: int) -> bool:
+        """Whether the key, to which the last ``n`` rows read belong, has more."""
+        if self.rows is None:
+            return len(self.query._with(order_by=())._by_key(key).limit(n + 1).frame().collect()) > n
+        self.held = list(islice(self.rows, 1))
+        return bool(self.held) and self.key(self.held[0]) == key
+
+
 def _last(column) -> str:
     return name_of(column).split(".")[-1]
 

@@ -36,6 +36,7 @@ class Database:
         self.number, self.cache, self._views = next(_numbers), ResultCache(), count()
         self.journal = None  # an operators.journal.Journal hears of every terminal
         self.rules = None  # operators.advice.Rules that every read must keep
+        self.changes = 0  # how often a table may have changed through this handle
         self._files: set[str] | None = None
         self._held: deque[str] = deque()
 
@@ -52,6 +53,7 @@ class Database:
 
     def forget(self, name: str) -> None:
         """Drop cached results that read the table."""
+        self.changes += 1
         self.cache.invalidate_table(name)
 
     def drop(self, name: str) -> None:
@@ -98,6 +100,7 @@ class Database:
             self.rollback(before)
 
     def save(self, name: str, path: str, mode: str = "error", partition_by: Sequence[str] = ()) -> None:
+        self.changes += 1
         self.table(name).write.mode(mode).partitionBy(*partition_by).parquet(path)
 
     def ping(self) -> bool:
@@ -145,6 +148,7 @@ class Database:
         df = self.spark.sql(self.local(sql), args=params or None)
         if re.match(r"\s*(select|with|values|table|from)\b", sql, re.I):
             return df.count()
+        self.changes += 1
         row = df.first() if df.columns else None
         return int(row[0]) if row and isinstance(row[0], int) else 0
 

@@ -3,6 +3,7 @@
 import base64
 import json
 from datetime import datetime
+from itertools import count
 
 import pytest
 from pyspark.sql import functions as F
@@ -403,3 +404,63 @@ def test_journal_and_rules(db):
         Query(PARTS, db).limit(1).with_("item", "owner").get()
     with pytest.raises(QueryError):
         Query(PARTS, db).limit(1).with_("item.more").get()
+
+
+# batches at size
+
+
+def jobs_of(spark, work):
+    """What ``work`` returns, and how many Spark jobs it ran."""
+    context, group = spark.sparkContext, f"batches {next(GROUPS)}"
+    context.setJobGroup(group, group)
+    try:
+        found = work()
+        return found, len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+GROUPS = count()
+NUMBERS = Model("numbers", "id bigint, n bigint", ("id",))
+
+
+@pytest.fixture
+def numbers(spark):
+    return Database(spark, tables={"numbers": spark.range(500).selectExpr("id", "id % 7 AS n").repartition(5), "twice": spark.range(1000).selectExpr("id AS t", "id DIV 2 AS of")})
+
+
+def test_batches_do_not_take_a_job_each(spark, numbers):
+    for query, want in ((Query(NUMBERS, numbers), range(500)), (Query(NUMBERS, numbers).order_desc("id"), range(499, -1, -1))):
+        want = [list(want[i : i + 3]) for i in range(0, 500, 3)]
+        found, jobs = jobs_of(spark, lambda q=query: [ids(b) for b in q.chunks(3)])
+        assert found == want and jobs < 30
+        rows, jobs = jobs_of(spark, lambda q=query: q.batched(3).collect())
+        assert sorted((r["batch"], r["id"]) for r in rows) == sorted((i, k) for i, b in enumerate(want) for k in b) and jobs < 30
+    some = Query(NUMBERS, numbers).where_gt("n", 2).limit(100)
+    assert {(r["id"], i) for i, b in enumerate(some.chunks(9)) for r in b} == {(r["id"], r["nth"]) for r in some.batched(9, "nth").collect()}
+
+
+def test_batches_of_a_join_do_not_take_a_job_each(spark, numbers):
+    query = Query(NUMBERS, numbers).inner_join("twice", "numbers.id", "twice.of").select("numbers.id", "twice.t")
+    for size, most in ((2, 1), (5, 2), (4, 2)):
+        found, jobs = jobs_of(spark, lambda s=size: list(query.chunks(s)))
+        assert jobs < 40 and [r["id"] for b in found for r in b] == [i for i in range(500) for _ in "ab"] and len({r["t"] for b in found for r in b}) == 1000
+        assert all(len(set(ids(b))) <= most and len(b) == 2 * len(set(ids(b))) for b in found)
+    assert [len(b) for b in query.limit(9).chunks(4)] == [2, 2, 2, 3]
+    with pytest.raises(QueryError, match="more rows have the key"):
+        list(query.chunks(1))
+
+
+def test_batches_see_changes_made_between_them(numbers):
+    seen = []
+    for n, batch in enumerate(Query(NUMBERS, numbers).where_lt("id", 40).chunks(5)):
+        seen += ids(batch)
+        if n == 2:
+            Query(NUMBERS, numbers).where_between("id", 3, 25).delete().execute()
+    assert seen == [*range(15), *range(26, 40)]
+
+
+def test_batches_that_are_refused(db):
+    for bad in (lambda: Query(ITEMS, db).batched(0), lambda: joined(db).batched(3), lambda: Query(ITEMS, db).order_asc("n").batched(3), lambda: Query(ITEMS, db).batched(3, "kind")):
+        with pytest.raises(QueryError):
+            bad()
