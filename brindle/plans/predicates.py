@@ -52,7 +52,7 @@ def _ne(scope: Scope, name: str, value) -> Column:
     if value is None:
         return c.isNotNull()
     if scope.is_json(name):
-        return json_rules.parsed(c).isNotNull() & ~_eq(scope, name, value)
+        return json_rules.differs(json_rules.parsed(c), json_rules.document(value))
     return c != literal(value, scope.kind(name))
 
 

@@ -1,5 +1,6 @@
 """Semantics that the tables don't show: literal rows, errors and traps."""
 
+import json
 from decimal import Decimal
 
 import pytest
@@ -109,6 +110,23 @@ def test_array_rules(db):
     assert ids(q.where_array_overlaps("items", [])) == []
 
 
+@pytest.mark.parametrize("name", ["eq", "ne", "json_contains", "json_contained_by"])
+def test_json_rules_parse_a_document_once(db, name):
+    doc = {"a": 1, "b": [1, {"x": [2, "y"]}], "n": None}
+    df = getattr(Query(DOCS, db), f"where_{name}")("doc", doc).frame()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and df.count() == {"eq": 0, "ne": 4, "json_contains": 0, "json_contained_by": 1}[name]
+
+
+def test_json_rules_on_members_of_any_name(spark):
+    names = ["", "a.b", "it's", 'a"b', "a]b", "\\", "é"]
+    db = Database(spark, tables={"docs": spark.createDataFrame([(i, json.dumps({n: {n: [i]}}), None) for i, n in enumerate(names)], DOCS.schema)})
+    for i, n in enumerate(names):
+        q = Query(DOCS, db)
+        assert ids(q.where_eq("doc", {n: {n: [i]}})) == ids(q.where_json_contains("doc", {n: {n: [i]}})) == ids(q.where_json_contained_by("doc", {n: {n: [i, -1]}})) == [i]
+        assert sorted(ids(q.where_ne("doc", {n: {n: [i]}}))) == [k for k in range(len(names)) if k != i]
+
+
 def test_json_set_keeps_the_rest(db):
     change = Query(DOCS, db).where_eq("id", 1).update_all().json_set("doc", "c.d", [1]).change()
     row = change.touched.select(F.to_json(F.parse_json("doc"))).first()[0]
